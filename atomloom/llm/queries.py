@@ -7,13 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm import encode, pack
+from atomloom.llm import encode, neighbours, pack
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The five nearest of every usable vector, with the cosine similarity."""
+    return neighbours.nearest(_table(spark, folder, "vector_payload"))
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return neighbours.pairs(p5_neighbours(spark, folder))
+
+
 def p7_ids(spark: SparkSession, folder: str) -> DataFrame:
     return encode.encode(_table(spark, folder, "documents"))
 
@@ -28,6 +37,6 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_containers(spark, folder).where(F.col("piece_no") == 1).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p7_ids, p8_containers, p8_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_neighbours, p5_found, p7_ids, p8_containers, p8_found)}
 
 SQL: dict[str, str] = {}
