@@ -7,13 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm import encode, neighbours, pack
+from atomloom.llm import copies, encode, history, neighbours, pack
+
+
+#: Tables of records, their ids and their lists of statements.
+RECORD_TABLES = (("ingest_item_result", "item_id", "atoms"), ("vector_payload", "point_id", "pln"))
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def _copy_records(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.union([copies.records(_table(spark, folder, t), t, k, c) for t, k, c in RECORD_TABLES])
+
+
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return copies.copies(_copy_records(spark, folder))
+
+
+def p4_collapsed(spark: SparkSession, folder: str) -> DataFrame:
+    """One row for each record without its copies, with the number of copies it had."""
+    return copies.collapsed(_copy_records(spark, folder))
+
+
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    parts = [_table(spark, folder, t).select(F.lit(t).alias("rec_table"), F.col(k).alias("id"), "batch_no", F.col(c).alias("items")) for t, k, c in RECORD_TABLES]
+    return history.pairs(copies.union(parts))
+
+
 def p5_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The five nearest of every usable vector, with the cosine similarity."""
     return neighbours.nearest(_table(spark, folder, "vector_payload"))
@@ -37,6 +59,25 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_containers(spark, folder).where(F.col("piece_no") == 1).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p5_neighbours, p5_found, p7_ids, p8_containers, p8_found)}
-
-SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_collapsed, p6_found, p5_neighbours, p5_found, p7_ids, p8_containers, p8_found)}
+
+#: Records of both tables with their sorted plain forms, in DuckDB.
+_PLAIN_SQL = " union all ".join(
+    rf"""select '{t}' rec_table, {k} id, list_sort(list_transform(list_filter({c}, lambda x: regexp_matches(x, '[^\s\p{{Z}}\p{{Cc}}]')), lambda x: regexp_replace(lower(x), '[^\p{{L}}\p{{N}}]+', '', 'g'))) leaves from {t}"""
+    for t, k, c in RECORD_TABLES
+)
+_WORDS_SQL = " union all ".join(
+    rf"""select '{t}' rec_table, {k} id, batch_no, w, count(*) n from (select {k}, batch_no, unnest(regexp_extract_all(lower(array_to_string(list_filter({c}, lambda x: x is not null), ' ')), '[\p{{L}}\p{{N}}]+')) w from {t}) group by all"""
+    for t, k, c in RECORD_TABLES
+)
+
+SQL: dict[str, str] = {
+    "p4_found": f"""with r as ({_PLAIN_SQL}), g as (select rec_table, leaves, min(id) id_a from r where len(leaves) > 0 group by all)
+        select rec_table, id_a, id id_b from r join g using (rec_table, leaves) where id > id_a""",
+    "p4_collapsed": f"""with r as ({_PLAIN_SQL}) select rec_table, min(id) id, count(*) copies from r where len(leaves) > 0 group by rec_table, leaves""",
+    "p6_found": f"""with w as ({_WORDS_SQL}), t as (select rec_table, id, batch_no, sum(n) n from w group by all),
+        c as (select a.rec_table, a.id id_a, b.id id_b, sum(least(a.n, b.n)) n from w a join w b on a.rec_table = b.rec_table and a.w = b.w and a.batch_no < b.batch_no group by all),
+        r as ({_PLAIN_SQL}), k as (select rec_table, id, batch_no from t), p as (select * from r join k using (rec_table, id) where len(leaves) > 0)
+        select c.rec_table, id_a, id_b from c join t a on a.rec_table = c.rec_table and a.id = id_a join t b on b.rec_table = c.rec_table and b.id = id_b where 5 * c.n >= 4 * (a.n + b.n - c.n)
+        union select a.rec_table, a.id, b.id from p a join p b on a.rec_table = b.rec_table and a.leaves = b.leaves and a.batch_no < b.batch_no""",
+}
