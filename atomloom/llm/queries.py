@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm import copies, encode, history, neighbours, pack
+from atomloom.llm import copies, encode, history, neighbours, pack, split
 
 
 #: Tables of records, their ids and their lists of statements.
@@ -18,6 +18,21 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    """The pieces of every oversized text."""
+    return split.pieces(_table(spark, folder, "ingest_request"))
+
+
+def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """The number of pieces of every oversized text beside the chunk_count of its item results."""
+    return split.counts(split.pieces(_table(spark, folder, "ingest_request"), with_text=False), _table(spark, folder, "ingest_item_result"))
+
+
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts that the splitting had to cut."""
+    return split.pieces(_table(spark, folder, "ingest_request"), with_text=False).where(F.col("piece_no") == 1).select("request_id", "text_no")
+
+
 def _copy_records(spark: SparkSession, folder: str) -> DataFrame:
     return copies.union([copies.records(_table(spark, folder, t), t, k, c) for t, k, c in RECORD_TABLES])
 
@@ -59,7 +74,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_containers(spark, folder).where(F.col("piece_no") == 1).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p4_found, p4_collapsed, p6_found, p5_neighbours, p5_found, p7_ids, p8_containers, p8_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_pieces, p2_counts, p4_found, p4_collapsed, p6_found, p5_neighbours, p5_found, p7_ids, p8_containers, p8_found)}
 
 #: Records of both tables with their sorted plain forms, in DuckDB.
 _PLAIN_SQL = " union all ".join(
@@ -72,6 +87,8 @@ _WORDS_SQL = " union all ".join(
 )
 
 SQL: dict[str, str] = {
+    "p2_found": """select distinct request_id, cast(i - 1 as integer) text_no from (select request_id, texts, unnest(range(1, len(texts) + 1)) i from ingest_request)
+        where length(regexp_replace(texts[i], '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')) > 512""",
     "p4_found": f"""with r as ({_PLAIN_SQL}), g as (select rec_table, leaves, min(id) id_a from r where len(leaves) > 0 group by all)
         select rec_table, id_a, id id_b from r join g using (rec_table, leaves) where id > id_a""",
     "p4_collapsed": f"""with r as ({_PLAIN_SQL}) select rec_table, min(id) id, count(*) copies from r where len(leaves) > 0 group by rec_table, leaves""",
