@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm import copies, encode, history, neighbours, pack, split
+from atomloom.llm import canon, copies, encode, history, neighbours, pack, split
 
 
 #: Tables of records, their ids and their lists of statements.
@@ -18,6 +18,17 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    rows = canon.matched(_table(spark, folder, "ingest_item_result"), _table(spark, folder, "canon_symbol"))
+    return rows.select(F.col("id").alias("item_id"), "atom_no", "canon_id")
+
+
+def p1_unmatched(spark: SparkSession, folder: str) -> DataFrame:
+    """Values that mean no entry, by kind, with the number of facts that have them."""
+    rows = canon.matched(_table(spark, folder, "ingest_item_result"), _table(spark, folder, "canon_symbol"))
+    return rows.where("canon_id = 0").groupBy("kind", F.lower("value").alias("value")).agg(F.count("*").alias("n"))
+
+
 def p2_pieces(spark: SparkSession, folder: str) -> DataFrame:
     """The pieces of every oversized text."""
     return split.pieces(_table(spark, folder, "ingest_request"))
@@ -74,7 +85,7 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_containers(spark, folder).where(F.col("piece_no") == 1).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p2_found, p2_pieces, p2_counts, p4_found, p4_collapsed, p6_found, p5_neighbours, p5_found, p7_ids, p8_containers, p8_found)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_pieces, p2_counts, p4_found, p4_collapsed, p6_found, p5_neighbours, p5_found, p7_ids, p8_containers, p8_found)}
 
 #: Records of both tables with their sorted plain forms, in DuckDB.
 _PLAIN_SQL = " union all ".join(
