@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from atomloom.llm import canon, copies, encode, history, neighbours, pack, split
+from atomloom.llm import canon, copies, encode, history, neighbours, pack, reading, split
 
 
 #: Tables of records, their ids and their lists of statements.
@@ -85,7 +85,17 @@ def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return p8_containers(spark, folder).where(F.col("piece_no") == 1).select("doc_id")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_pieces, p2_counts, p4_found, p4_collapsed, p6_found, p5_neighbours, p5_found, p7_ids, p8_containers, p8_found)}
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return reading.levels(_table(spark, folder, "documents"), _table(spark, folder, "doc_level_label")).select("doc_id", "level")
+
+
+def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus counted by source and level."""
+    docs = _table(spark, folder, "documents")
+    return p9_found(spark, folder).join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "level").agg(F.count("*").alias("n"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_pieces, p2_counts, p4_found, p4_collapsed, p6_found, p5_neighbours, p5_found, p7_ids, p8_containers, p8_found, p9_found, p9_profile)}
 
 #: Records of both tables with their sorted plain forms, in DuckDB.
 _PLAIN_SQL = " union all ".join(
