@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("integrity",)
+MODULES: tuple[str, ...] = ("text", "integrity")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
