@@ -69,13 +69,13 @@ def canonical_head(h: Column) -> Column:
 
 def context_heads(atoms: Column, most: int = MOST_HEADS) -> Column:
     """Heads in the atoms, structural ones too, by their known names, each once, the first ones."""
-    found = F.flatten(F.transform(atoms, lambda a: F.regexp_extract_all(a, F.lit(HEAD), F.lit(1))))
+    found = F.flatten(F.transform(F.array_compact(atoms), lambda a: F.regexp_extract_all(a, F.lit(HEAD), F.lit(1))))
     return F.slice(F.array_distinct(F.transform(found, canonical_head)), 1, most)
 
 
 def domain_heads(atoms: Column) -> Column:
     """Heads in the atoms as written without those the translator knows, each once; no limit."""
-    found = F.flatten(F.transform(atoms, lambda a: F.regexp_extract_all(a, F.lit(HEAD), F.lit(1))))
+    found = F.flatten(F.transform(F.array_compact(atoms), lambda a: F.regexp_extract_all(a, F.lit(HEAD), F.lit(1))))
     return F.array_distinct(F.filter(found, lambda h: ~h.isin(TRANSLATOR_HEADS)))
 
 
