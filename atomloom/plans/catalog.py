@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES: tuple[str, ...] = ("text", "atoms", "background", "knowledge", "planning", "translate", "integrity")
+MODULES: tuple[str, ...] = ("text", "atoms", "background", "knowledge", "planning", "translate", "service", "integrity")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
