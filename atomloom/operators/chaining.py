@@ -124,12 +124,12 @@ def matches(facts: DataFrame, atom: Atom, prefix: str) -> DataFrame:
     seen: dict[str, int] = {}
     for i, a in enumerate(atom.args):
         if not is_var(a):
-            cond &= F.col("args")[i] == a
+            cond &= F.get("args", F.lit(i)) == a
         elif a in seen:
-            cond &= F.col("args")[i] == F.col("args")[seen[a]]
+            cond &= F.get("args", F.lit(i)) == F.get("args", F.lit(seen[a]))
         else:
             seen[a] = i
-    return facts.where(cond).select(*(F.col("args")[i].alias(v) for v, i in seen.items()), *(F.col(c).alias(f"{prefix}{c}") for c in ("strength", "confidence", "steps", "trace")))
+    return facts.where(cond).select(*(F.get("args", F.lit(i)).alias(v) for v, i in seen.items()), *(F.col(c).alias(f"{prefix}{c}") for c in ("strength", "confidence", "steps", "trace")))
 
 
 def _compared(df: DataFrame, atom: Atom) -> DataFrame:

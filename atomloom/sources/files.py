@@ -90,7 +90,7 @@ def assertions(spark: SparkSession, path: str, max_rows: int = 0) -> tuple[DataF
         lines = lines.repartition(spark.sparkContext.defaultParallelism)
     f = F.split("line", "\t", -1)
     cut = lines.withColumn("f", f)
-    rows = cut.where(F.size("f") == ASSERTION_FIELDS).select("line_no", F.col("f")[1].alias("relation"), F.col("f")[2].alias("start"), F.col("f")[3].alias("end"), F.col("f")[4].alias("metadata"))
+    rows = cut.where(F.size("f") == ASSERTION_FIELDS).select("line_no", F.get("f", F.lit(1)).alias("relation"), F.get("f", F.lit(2)).alias("start"), F.get("f", F.lit(3)).alias("end"), F.get("f", F.lit(4)).alias("metadata"))
     return rows, lines, cut.where(F.size("f") > ASSERTION_FIELDS).select("line_no", "line")
 
 
