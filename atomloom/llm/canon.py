@@ -36,7 +36,7 @@ def facts(items: DataFrame, key: str = "item_id", atoms: str = "atoms") -> DataF
     """(id, atom_no int, kind, value, plain_value) of the facts with one of the predicates of KINDS; value is their last argument."""
     e = items.select(F.col(key).cast("bigint").alias("id"), F.posexplode(atoms).alias("atom_no", "atom")).where(F.lower("atom").rlike("|".join(f"{k[:2]}.*{k[2:4]}" for k in KINDS)))
     e = e.withColumn("args", F.regexp_extract_all(F.regexp_extract("atom", FACT, 1), F.lit(ARGUMENT), F.lit(0)))
-    e = e.where(F.size("args") >= 2).withColumn("kind", F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[plain(F.col("args")[0])]).where("kind is not null")
+    e = e.where(F.size("args") >= 2).withColumn("kind", F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[plain(F.get("args", F.lit(0)))]).where("kind is not null")
     return e.select("id", "atom_no", "kind", F.element_at("args", -1).alias("value")).withColumn("plain_value", plain(F.col("value")))
 
 
@@ -113,7 +113,7 @@ def mapped(values: DataFrame, canon: DataFrame) -> DataFrame:
     near = distinct.withColumn("k", F.explode(keys(F.col("token"), True))).join(by_key, ["kind", "k"]).select("kind", "token", "word", "idf").distinct()
     near = written(near.withColumn("sim", nearness(F.col("token"), F.col("word"))).where("sim is not null"), "repairs")
     # whole values written as one word
-    single = v.where(F.size("typed") == 1).select("kind", "value", F.col("typed")[0].alias("token")).where(F.length("token").between(TWO_FROM, longest + EDITS))
+    single = v.where(F.size("typed") == 1).select("kind", "value", F.get("typed", F.lit(0)).alias("token")).where(F.length("token").between(TWO_FROM, longest + EDITS))
     whole_keys = whole.withColumn("k", F.explode(without(F.col("word"), 2)))
     ones = single.withColumn("k", F.explode(without(F.col("token"), 2))).join(whole_keys, ["kind", "k"]).select("kind", "value", "token", "form_id", "word").distinct()
     ones = ones.withColumn("sim", 1 - F.levenshtein("token", "word").cast("double") / F.length("word")).where(F.levenshtein("token", "word") <= EDITS)
