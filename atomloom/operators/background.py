@@ -14,6 +14,8 @@ RELATIONS = {
 #: Sentences by predicate, as the text between subject and object.
 TEMPLATES = {"IsA": " is a kind of ", "PartOf": " is part of ", "UsedFor": " is used for ", "CapableOf": " is capable of ", "AtLocation": " is located at ", "HasA": " has a ", "MadeOf": " is made of "}
 PROPERTY = "/r/HasProperty"
+#: A path of the language with a letter or digit in its concept: just those have a canonical form that isn't empty.
+CONCEPT = f"^{S.LANGUAGE_PREFIX}[^/]*[A-Za-z0-9]"
 LEAST_WEIGHT, PERCENT, SEED = 2.0, 100.0, 42
 DEFAULT_WEIGHT, WEIGHT_HALF, MOST_CONFIDENCE = 1.0, 0.2, 0.9999
 NORMALIZATION_VERSION = 1
@@ -21,20 +23,32 @@ NORMALIZATION_VERSION = 1
 SETTINGS = ("source_file", "normalization_version", "min_weight", "coverage_percent", "sample_seed")
 
 
+def weighed(rows: DataFrame, least_weight: float = LEAST_WEIGHT) -> DataFrame:
+    """(line_no, relation, start, end, weight) of the assertions with a known relation, concepts of the language and enough weight; the cheap conditions come first."""
+    df = rows.where(F.col("relation").isin(list(RELATIONS))).where(F.col("start").rlike(CONCEPT) & F.col("end").rlike(CONCEPT)).where(F.col("metadata").rlike(r"^\s*\{"))
+    value = lambda m: F.when(m.isNotNull(), F.when(F.map_contains_key(m, F.lit("weight")), m["weight"].try_cast("double")).otherwise(F.lit(DEFAULT_WEIGHT)))
+    df = df.withColumn("weight", S.let(F.from_json("metadata", "map<string,string>", {"mode": "PERMISSIVE"}), value))
+    return df.where(F.col("weight") >= least_weight).select("line_no", "relation", "start", "end", "weight")
+
+
+def projected(df: DataFrame) -> DataFrame:
+    known = F.create_map(*(F.lit(x) for kv in RELATIONS.items() for x in kv))
+    return df.select("line_no", "relation", known[F.col("relation")].alias("predicate"), S.clean_concept(F.col("start")).alias("source"), S.clean_concept(F.col("end")).alias("target"), "weight")
+
+
 def eligible(rows: DataFrame, least_weight: float = LEAST_WEIGHT) -> DataFrame:
     """(line_no, relation, predicate, source, target, weight) of the assertions kept.
 
     rows is (line_no, relation, start, end, metadata). Dropped are other relations, concepts of other languages or
     without a letter or digit, malformed metadata (null too) and weights below the least; a missing weight is 1.
-    The cheap conditions come first.
     """
-    known = F.create_map(*(F.lit(x) for kv in RELATIONS.items() for x in kv))
-    df = rows.where(F.col("relation").isin(list(RELATIONS))).where(F.col("start").startswith(S.LANGUAGE_PREFIX) & F.col("end").startswith(S.LANGUAGE_PREFIX))
-    df = df.select("line_no", "relation", known[F.col("relation")].alias("predicate"), S.clean_concept(F.col("start")).alias("source"), S.clean_concept(F.col("end")).alias("target"), "metadata").where("source <> '' and target <> ''")
-    parsed = F.from_json("metadata", "map<string,string>", {"mode": "PERMISSIVE"})
-    weight = F.when(F.map_contains_key(parsed, F.lit("weight")), parsed["weight"].try_cast("double")).otherwise(F.lit(DEFAULT_WEIGHT))
-    df = df.withColumn("weight", F.when(parsed.isNotNull() & F.col("metadata").rlike(r"^\s*\{"), weight)).drop("metadata")
-    return df.where(F.col("weight") >= least_weight)
+    return projected(weighed(rows, least_weight))
+
+
+def first_eligible(rows: DataFrame, least_weight: float = LEAST_WEIGHT) -> DataFrame:
+    """first_of_triple(eligible(rows)), but rows that repeat as they stand are reduced to the first before any symbol is made."""
+    first = weighed(rows, least_weight).groupBy("relation", "start", "end").agg(F.min(F.struct("line_no", "weight")).alias("r"))
+    return first_of_triple(projected(first.select("r.line_no", "relation", "start", "end", "r.weight")))
 
 
 def unit_score(predicate: Column, source: Column, target: Column, seed: int) -> Column:
@@ -82,17 +96,18 @@ def checksum(x: Column) -> Column:
 
 def counts(rows: DataFrame, least_weight: float = LEAST_WEIGHT, percent: float = PERCENT, seed: int = SEED) -> DataFrame:
     """(scanned, eligible, sampled, deduped) in one row; eligible is counted before sampling, sampled before deduplication."""
-    fit = eligible(rows, least_weight)
+    same = weighed(rows, least_weight).groupBy("relation", "start", "end").agg(F.count("*").alias("n"))
+    per = projected(same.select(F.lit(0).alias("line_no"), "relation", "start", "end", F.col("n").alias("weight"))).withColumnRenamed("weight", "n")
+    per_triple = per.withColumn("taken", F.lit(True) if percent >= 100 else unit_score(F.col("predicate"), F.col("source"), F.col("target"), seed) < percent / 100)
+    per_triple = per_triple.groupBy("predicate", "source", "target", "taken").agg(F.sum("n").alias("n"))
     one = lambda df, name: df.agg(F.count("*").alias(name))
-    per_triple = fit.withColumn("taken", F.lit(True) if percent >= 100 else unit_score(F.col("predicate"), F.col("source"), F.col("target"), seed) < percent / 100)
-    per_triple = per_triple.groupBy("predicate", "source", "target", "taken").agg(F.count("*").alias("n"))
     totals = per_triple.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("eligible"), F.coalesce(F.sum(F.when(F.col("taken"), F.col("n"))), F.lit(0)).alias("sampled"), F.count_if("taken").alias("deduped"))
     return one(rows, "scanned").crossJoin(totals)  # one row beside one row
 
 
 def manifest(rows: DataFrame, source_file: str, max_rows: int = 0, least_weight: float = LEAST_WEIGHT, percent: float = PERCENT, seed: int = SEED) -> DataFrame:
     """One row: settings, counts, relations and checksums of one run."""
-    stmts = statements(first_of_triple(sampled(eligible(rows, least_weight), percent, seed)))
+    stmts = statements(sampled(first_eligible(rows, least_weight), percent, seed))  # the choice depends on the triple only, so it commutes
     n = F.count("*")
     made = stmts.groupBy("predicate").agg(n.alias("n"), checksum(F.col("atom")).cast("decimal(38,0)").alias("a"), checksum(F.col("nl")).cast("decimal(38,0)").alias("v"))
     made = made.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("atom_count"), F.array_join(F.array_sort(F.collect_list(F.concat("predicate", F.lit("="), "n"))), ",").alias("relation_counts"), F.sum("a").cast("string").alias("atom_checksum"), F.sum("v").cast("string").alias("payload_checksum"))

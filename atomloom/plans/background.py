@@ -25,7 +25,7 @@ def seeded_sample(spark, folder):
 
 
 def dedup_first(spark, folder):
-    return B.first_of_triple(B.eligible(K.assertions(spark, folder)))
+    return B.first_eligible(K.assertions(spark, folder))
 
 
 def kb_statements(spark, folder):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomloom.operators import background as B
+from atomloom.session import spread, written
 
 KIND = 1_000_000_000_000
 #: kind number: (relation, start, end, weight key, table) as SQL expressions that Spark and DuckDB read alike.
@@ -33,6 +34,7 @@ def assertions(spark: SparkSession, folder: str) -> DataFrame:
     """(line_no, relation, start, end, metadata): some without or with malformed weight, some of another language or relation."""
     names = ("nation", "region", "customer", "supplier", "part", "lineitem")
     tables = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
+    tables["lineitem"] = spread(tables["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     out = None
     for k in SOURCES:
         text = _select(k).replace('"end"', "`end`").replace("{", "{{").replace("}", "}}")
@@ -45,7 +47,7 @@ def assertions(spark: SparkSession, folder: str) -> DataFrame:
 
 def triples(spark: SparkSession, folder: str) -> DataFrame:
     """The statements of all eligible assertions, each triple once."""
-    return B.statements(B.first_of_triple(B.eligible(assertions(spark, folder))))
+    return B.statements(B.first_eligible(assertions(spark, folder)))
 
 
 def facts(spark: SparkSession, folder: str) -> DataFrame:
@@ -54,6 +56,11 @@ def facts(spark: SparkSession, folder: str) -> DataFrame:
     return triples(spark, folder).select(F.col("line_no").alias("seq"), F.col("predicate").alias("head"), F.col("source").alias("subject"), F.col("target").alias("object"), F.lit(1.0).alias("strength"), c.alias("confidence"), F.col("atom").alias("raw"))
 
 
+def stored_facts(spark: SparkSession, folder: str) -> DataFrame:
+    """The facts as a written table, for queries that read them several times."""
+    return written(facts(spark, folder), "fact-base")
+
+
 def sql() -> str:
     """CTEs rows_, fit, first_, stm and fact for DuckDB."""
     from atomloom.functions import sql as Q

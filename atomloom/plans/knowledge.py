@@ -80,7 +80,7 @@ def canonical_lookup(spark, folder):
 
 
 def _facts(spark, folder):
-    return K.facts(spark, folder).select("head", F.array("subject", "object").alias("args"), "strength", "confidence", F.lit(0).alias("steps"), F.array(F.regexp_extract("raw", r"^\(: (\S+)", 1)).alias("trace"))
+    return K.stored_facts(spark, folder).select("head", F.array("subject", "object").alias("args"), "strength", "confidence", F.lit(0).alias("steps"), F.array(F.regexp_extract("raw", r"^\(: (\S+)", 1)).alias("trace"))
 
 
 def _flat(df):
@@ -90,12 +90,13 @@ def _flat(df):
 
 def chain_location(spark, folder):
     """Which customers are located in which region, and with what confidence?"""
-    return C.location(K.facts(spark, folder))
+    return C.location(K.stored_facts(spark, folder))
 
 
 def chain_conjunctive(spark, folder):
     """One rule with three premises."""
-    return _flat(C.best(C.fire(C.rules(CONJUNCTIVE)[0], [_facts(spark, folder)] * 3)))
+    facts = _facts(spark, folder)
+    return _flat(C.best(C.fire(C.rules(CONJUNCTIVE)[0], [facts] * 3)))
 
 
 def chain_transitive(spark, folder):
@@ -106,7 +107,7 @@ def chain_transitive(spark, folder):
 
 def chain_transitive_cte(spark, folder):
     """The confidence of the best chain of locations and parts, by a recursive query: a second way for acyclic facts."""
-    f = K.facts(spark, folder).where("head in ('AtLocation', 'PartOf')").select("head", "subject", "object", "confidence")
+    f = K.stored_facts(spark, folder).where("head in ('AtLocation', 'PartOf')").select("head", "subject", "object", "confidence")
     f.createOrReplaceTempView("atomloom_facts")
     return spark.sql("""with recursive w(subject, object, confidence) as (select subject, object, confidence from atomloom_facts where head = 'AtLocation'
         union all select w.subject, f.object, least(w.confidence, f.confidence) from w join atomloom_facts f on f.subject = w.object)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from atomloom.functions import sql as Q
 from atomloom.operators import planning as P
 from atomloom.plans import facts as K
+from atomloom.session import written
 
 QUESTIONS = [
     "Is supplier 000000001 located in nation 3?", "Is NATION_3 part of ASIA?", "Who is in the Nation_4?", "Does customer 000000007 have a balance?", "What is part of EUROPE?",
@@ -32,7 +33,7 @@ def _candidates(spark):
 def _signatures(spark, folder):
     given = K.facts(spark, folder).select(F.lit(0).alias("tier"), "seq", "head", F.array("subject", "object").alias("args"))
     made = spark.createDataFrame([(1, i, h, a) for i, (h, a) in enumerate(CONCLUSIONS)], "tier int, seq bigint, head string, args array<string>")
-    return given.unionByName(made)
+    return written(given.unionByName(made), "signatures")
 
 
 def plan_score(spark, folder):
@@ -70,7 +71,7 @@ def plan_executed(spark, folder):
     """The goal of each plan that is answered first by lookup, with the statement that answers it."""
     from atomloom.operators import lookup as L
 
-    plan = plan_goals(spark, folder)
+    plan = written(plan_goals(spark, folder), "plan")
     stored = K.facts(spark, folder).select(F.lit(0).alias("file_rank"), "seq", "raw")
     hit = L.looked_up(plan.select(F.struct("question_no", "rank").alias("goal_no"), "goal"), stored)
     return P.executed(plan, hit.select("goal_no.question_no", "goal_no.rank", F.col("raw").alias("proof")))
@@ -118,6 +119,9 @@ _hint = [f"case when w[1] in ({Q.quoted(P.AUXILIARIES)}) then '; query intent: y
     f"case when list_has_any(w, [{Q.quoted(P.EXISTENTIAL)}]) then '; existential wording may justify a helper predicate when a direct query shape is not derivable' end", "case when list_has_any(w, ['not', 'never']) then '; use negation only if it is directly supported by explicit facts or rules' end",
     "'; prioritize these predicate heads first: IsA, PartOf'", "case when question like '%?' then '; preserve the question semantics while keeping the final query executable' end"]
 SQL = {
+    "plan_executed": f"""with {_PLAN}, lk as (select question_no, rank, goal, fact.raw proof from pl left join fact on goal = '(: $prf (' || head || ' ' || subject || ' ' || object || ') $tv)'),
+        ok as (select question_no, min(rank) rank from lk where proof is not null group by 1), no_ as (select question_no, max(rank) rank from lk where question_no not in (select question_no from ok) group by 1)
+        select question_no, goal executed, proof from lk semi join (from ok union all from no_) using (question_no, rank)""",
     "plan_score": f"with {_BASE}, {_SC} select * from sc",
     "plan_grounded": f"with {_BASE}, {_GR} select * from gr",
     "plan_aligned": f"with {_BASE}, {_al('cs')} select * from al",

@@ -27,6 +27,12 @@ def local_session(cores: str = "*", partitions: int = 8, name: str = "atomloom")
     )
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a scan that comes in fewer parts than there are cores (few files, or files that cannot be split), spread over the cores; else df as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir as the session has it.
 
