@@ -10,6 +10,20 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _made: list[str] = []
+_written: list[str] = []
+
+
+def _delete(spark: SparkSession) -> None:
+    """Deletes the intermediate tables of this process when it ends; what can't be deleted any more is left to the folder's owner."""
+    for path in _written:
+        if path.startswith("file:"):
+            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), True)
+        else:
+            try:
+                p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            except Exception:  # noqa: BLE001 the session may be gone by now
+                return
 
 
 def local_session(cores: str = "*", partitions: int = 8, name: str = "atomloom") -> SparkSession:
@@ -57,5 +71,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_delete, spark)
+    _written.append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
