@@ -163,6 +163,19 @@ _CHUNKS = f"""with recursive {_MERGED}, t as (select doc_id, {_strip('text')} t
     o as (select * from v where length(chunk) > {C.SIZE}), {_oversize('o', 'doc_id, chunk_no')},
     e as (select doc_id, chunk_no, 0 n, chunk from v where length(chunk) <= {C.SIZE} union all select doc_id, chunk_no, n, {_strip('substr(chunk, start + 1, stop - start)')} from w)"""
 
+#: Units of a document: its paragraphs, or the merged sentences of oversized ones. Segments g are runs of small paragraphs (odd) and single oversized ones (even).
+_PARA = rf"""with recursive t as (select doc_id, {_strip('text')} t from documents where text is not null), p0 as (select doc_id, regexp_split_to_array(t, '\n\s*\n') ps from t where length(t) > {C.SIZE}),
+    p1 as (select doc_id, i, {_strip('ps[i]')} p from (select doc_id, ps, unnest(range(1, len(ps) + 1)) i from p0)), p2 as (select doc_id, i, p, length(p) > {C.SIZE} big, coalesce(lag(length(p) > {C.SIZE}) over (partition by doc_id order by i), true) before from p1 where p <> ''),
+    p3 as (select *, sum((big or before)::int) over (partition by doc_id order by i) g from p2),
+    s0 as (select doc_id, g, i, p[j] s, j from (select doc_id, g, i, p, unnest(range(1, len(p) + 1)) j from (select doc_id, g, i, {_SENTS('p')} p from p3 where big))),
+    s1 as (select *, sum(case when j = 1 or not {_depends('s', C.CUES + C.MORE_CUES, C.PREFIXES + C.MORE_PREFIXES)} then 1 else 0 end) over (partition by doc_id, g order by j) k from s0),
+    u as (select doc_id, g, row_number() over (partition by doc_id, g order by i) j, p u, false big from p3 where not big union all select doc_id, g, k, string_agg(s, ' ' order by j), true from s1 group by doc_id, g, k),
+    r as (select doc_id, g, j, u, big, 1 pack, length(u) + case when big then 1 else 2 end used from u where j = 1 union all
+        select u.doc_id, u.g, u.j, u.u, u.big, case when used + length(u.u) > {C.SIZE} then pack + 1 else pack end, case when used + length(u.u) > {C.SIZE} then length(u.u) + case when u.big then 0 else 2 end else used + length(u.u) + case when u.big then 1 else 2 end end
+        from r join u on u.doc_id = r.doc_id and u.g = r.g and u.j = r.j + 1),
+    c as (select doc_id, g, pack, case when big then string_agg(u, ' ' order by j) else string_agg(u, chr(10) || chr(10) order by j) end chunk from r group by doc_id, g, pack, big)
+    select doc_id, cast(row_number() over (partition by doc_id order by g, pack) - 1 as integer) chunk_no, chunk from c union all select doc_id, 0, t from t where length(t) between 1 and {C.SIZE}"""
+
 SQL = {
     "normalize_text": f"select doc_id, {Q.norm('text')} normalized from documents",
     "canon_symbols": f"with {_SYMBOLS_SQL} select id, origin, {Q.canonical('token')} canonical, {Q.snake('token')} unlemmatised, {Q.canonical('token')} concept from s where token not like '%/%'",
@@ -196,4 +209,5 @@ SQL = {
             select n.doc_id, n.chunk_no, case when r.k >= {C.MOST_SENTENCES} or r.c + 1 + n.c > {C.MOST_CHARS} then batch_no + 1 else batch_no end, case when r.k >= {C.MOST_SENTENCES} or r.c + 1 + n.c > {C.MOST_CHARS} then 1 else r.k + 1 end,
                 case when r.k >= {C.MOST_SENTENCES} or r.c + 1 + n.c > {C.MOST_CHARS} then n.c else r.c + 1 + n.c end from r join n on n.doc_id = r.doc_id and n.chunk_no = r.chunk_no + 1)
         select doc_id, chunk_no, batch_no from r""",
+    "para_chunks": _PARA,
 }
