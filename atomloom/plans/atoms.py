@@ -9,6 +9,7 @@ from atomloom.functions import sql as Q
 from atomloom.functions import symbols as S
 from atomloom.operators import atoms as O
 from atomloom.plans.text import _CAPS
+from atomloom.session import spread
 
 #: Rules in several writings: for the operators on rules, beside the tables.
 RULES = [
@@ -35,7 +36,7 @@ def _log(spark, folder):
 
 
 def _items(spark, folder):
-    return spark.read.parquet(f"{folder}/ingest_item_result.parquet").select("item_id", "text", "atoms")
+    return spread(spark.read.parquet(f"{folder}/ingest_item_result.parquet").select("item_id", "text", "atoms"))
 
 
 def _flat(sig, prefix=""):

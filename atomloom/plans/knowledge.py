@@ -8,6 +8,7 @@ from atomloom.operators import chaining as C
 from atomloom.operators import lookup as L
 from atomloom.operators import retrieval as R
 from atomloom.plans import facts as K
+from atomloom.session import spread
 
 #: Queries of the similarity searches: ids divisible by 50, against all rows.
 EVERY = 50
@@ -62,7 +63,7 @@ def count_by_source(spark, folder):
 def _asked(spark, folder):
     from atomloom.operators import atoms as A
 
-    pln = _read(spark, folder, "vector_payload", "point_id", F.posexplode("pln").alias("pos", "atom"))
+    pln = spread(_read(spark, folder, "vector_payload", "point_id", "pln")).select("point_id", F.posexplode("pln").alias("pos", "atom"))
     return pln.select((F.col("point_id") * 1000 + F.col("pos")).alias("goal_no"), F.concat(F.lit("(: $prf "), A.statement_body(F.col("atom")), F.lit(" $tv)")).alias("goal"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from atomloom.operators import chunking as C
 from atomloom.operators import runs, service
 from atomloom.plans.text import _CHUNKS
-from atomloom.session import shared_folder
+from atomloom.session import shared_folder, spread
 
 BACKGROUND = "conceptdump_main"
 
@@ -20,7 +20,7 @@ def _read(spark, folder, name, *columns):
 
 def ingest_result(spark, folder):
     """Chunks and batches of every document as a parser would get them."""
-    df = service.sized(_read(spark, folder, "documents", "doc_id", "text"), "doc_id", "text")
+    df = service.sized(spread(_read(spark, folder, "documents", "doc_id", "text")), "doc_id", "text")
     return df.select("doc_id", "chunk_count", "batch_count", F.array_join(F.col("batch_sizes").cast("array<string>"), ",").alias("batch_sizes"), "parser_calls")
 
 

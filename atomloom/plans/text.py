@@ -9,6 +9,7 @@ from atomloom.functions import arrays as A
 from atomloom.functions import sql as Q
 from atomloom.functions import symbols as S
 from atomloom.operators import chunking as C
+from atomloom.session import spread
 
 
 def _read(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
@@ -16,7 +17,7 @@ def _read(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFra
 
 
 def _documents(spark: SparkSession, folder: str) -> DataFrame:
-    return _read(spark, folder, "documents", "doc_id", "text")
+    return spread(_read(spark, folder, "documents", "doc_id", "text"))
 
 
 def _symbols(spark: SparkSession, folder: str) -> DataFrame:
