@@ -16,8 +16,10 @@ from atomloom.session import written
 CODE_PARTS = 1024
 #: Codes of one part start at part x 2^44.
 PART_BITS = 44
-#: Rows that hold a hot key are spread over so many join keys.
-SALTS = 8
+#: A key and month with more than one in so many references is hot: there are at most so many of them.
+HOT_SHARE = 1000
+#: Rows of a hot key are spread over so many join keys.
+SALTS = 32
 END_OF_TIME = "9999-01-01"
 
 
@@ -76,11 +78,11 @@ def orphans(refs: DataFrame, lived: DataFrame) -> DataFrame:
 
     Shuffles: distinct (key, month) of the references and the target rows once by key, to number the keys; words of
     bits by key range; and the references once by (key, month) against the keys that failed. A hot key is one row
-    after map-side aggregation in the first two, and salted in the last.
+    after map-side aggregation in the first two, and salted in the last; the list of hot ones has at most HOT_SHARE rows.
     """
     refs = refs.withColumn("period", F.coalesce(month(F.col("at").cast("timestamp")), F.lit(-1)))
-    used = refs.select("kind", "key", "period").distinct().select("kind", "key", "period", F.lit(None).cast("timestamp").alias("since"), F.lit(None).cast("timestamp").alias("until"))
-    rows = used.unionByName(lived.select("kind", "key", F.lit(None).cast("int").alias("period"), F.col("since").cast("timestamp").alias("since"), F.col("until").cast("timestamp").alias("until")))
+    used = refs.groupBy("kind", "key", "period").agg(F.count("*").alias("n")).withColumns({c: F.lit(None).cast("timestamp") for c in ("since", "until")})
+    rows = used.unionByName(lived.select("kind", "key", F.lit(None).cast("int").alias("period"), F.lit(None).cast("bigint").alias("n"), F.col("since").cast("timestamp").alias("since"), F.col("until").cast("timestamp").alias("until")))
     # dictionary: a dense rank within each part of the keys
     part = F.pmod(F.xxhash64("kind", "key"), F.lit(CODE_PARTS))
     rows = rows.withColumn("part", part)
@@ -109,16 +111,21 @@ def orphans(refs: DataFrame, lived: DataFrame) -> DataFrame:
     left = left.select((F.shiftleft("word", 6) + F.col("place")).alias("code"), "period", set_("missing").alias("missing"), set_("unsure").alias("unsure")).where("missing or unsure")
     named = rows.where("period is not null").select("kind", "key", "code", "period").join(left, ["code", "period"]).select("kind", "key", "period", "missing")
     named = written(named, "reference-verdicts")
-    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
-    hit = refs.withColumn("salt", F.pmod(F.xxhash64("row_id", "ref_no"), F.lit(SALTS)).cast("int")).join(named.select("*", salts), ["kind", "key", "period", "salt"])
-    hit = written(hit.drop("salt"), "reference-hits")
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    hot = refs.sparkSession.createDataFrame(rows.where(F.col("n") > max(1, total // HOT_SHARE)).select("kind", "key", "period").collect(), "kind string, key string, period int").withColumn("hot", F.lit(True))
+    parts = F.when(F.col("hot"), F.lit(SALTS)).otherwise(F.lit(1))
+    named = named.join(F.broadcast(hot), ["kind", "key", "period"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot")
+    salted = refs.join(F.broadcast(hot), ["kind", "key", "period"], "left").withColumn("salt", F.pmod(F.xxhash64("row_id", "ref_no"), parts).cast("int")).drop("hot")
+    hit = written(salted.join(named, ["kind", "key", "period", "salt"]), "reference-hits")
     # keys that lived for a part of the month: by their times
     times = targets_.join(named.where("not missing").select("kind", "key").distinct(), ["kind", "key"]).select("kind", "key", "since", F.coalesce("until", F.lit(END_OF_TIME).cast("timestamp")).alias("until"))
-    doubtful = hit.where("not missing").alias("r")
-    t = times.select("*", salts).alias("t")
-    same = (F.col("r.kind") == F.col("t.kind")) & (F.col("r.key") == F.col("t.key")) & (F.pmod(F.xxhash64("r.row_id", "r.ref_no"), F.lit(SALTS)).cast("int") == F.col("t.salt"))
+    warm = hot.select("kind", "key", "hot").distinct()  # of hot keys the rows of all months
+    doubtful = hit.drop("salt").where("not missing").join(F.broadcast(warm), ["kind", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("row_id", "ref_no"), parts).cast("int")).alias("r")
+    t = times.join(F.broadcast(warm), ["kind", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).alias("t")
+    same = (F.col("r.kind") == F.col("t.kind")) & (F.col("r.key") == F.col("t.key")) & (F.col("r.salt") == F.col("t.salt"))
     dead = doubtful.join(t, same & (F.col("t.since") <= F.col("r.at")) & (F.col("t.until") > F.col("r.at")), "left_anti")
-    return hit.where("missing").unionByName(dead).select("ref_table", "row_id", "ref_field", "ref_no", "kind", "key", "at")
+    columns = ["ref_table", "row_id", "ref_field", "ref_no", "kind", "key", "at"]
+    return hit.where("missing").select(*columns).unionByName(dead.select(*columns))
 
 
 def counted(found: DataFrame) -> DataFrame:
