@@ -180,6 +180,11 @@ def executed(plan: DataFrame, found: DataFrame, fallback: bool = True) -> DataFr
     return j.groupBy("question_no").agg(F.min_by("goal", key).alias("executed"), F.min_by("proof", key).alias("proof"))
 
 
+def prepared(batch_hints: Column, context: Column) -> Column:
+    """The context a parser gets: hints of the batch, then atoms, white space collapsed and repeated ones dropped."""
+    return A.dedupe(F.concat(F.coalesce(batch_hints, F.array().cast("array<string>")), F.coalesce(context, F.array().cast("array<string>"))))
+
+
 def hints(question: Column, heads: Column) -> Column:
     """Comment lines on the intent of a question, for a model."""
     norm = S.normalize_text(question)

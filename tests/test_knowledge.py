@@ -119,3 +119,8 @@ def test_plans(spark):
 def test_hints_of_blank(spark):
     r = spark.createDataFrame([("",), ("Is it never so?",)], "q string").select(P.hints(F.col("q"), F.array().cast("array<string>")).alias("h")).collect()
     assert r[0].h == [] and len(r[1].h) == 3
+
+
+def test_prepared_context(spark):
+    df = spark.createDataFrame([(["; a"], ["(x  y)", "(x y)", None]), (None, None)], "h array<string>, c array<string>")
+    assert [r.p for r in df.select(P.prepared(F.col("h"), F.col("c")).alias("p")).collect()] == [["; a", "(x y)"], []]
