@@ -210,6 +210,47 @@ def chain(facts: DataFrame, rule_list: list[Rule], most_rounds: int = MOST_ROUND
     return known.unionByName(rest)
 
 
+def relevant(rule_list: list[Rule], heads: set[str]) -> list[Rule]:
+    """The rules that can have a part in a proof of facts with one of the heads."""
+    wanted, grown = set(heads), True
+    while grown:
+        more = {a.head for r in rule_list if r.conclusion.head in wanted for a in r.premises} - wanted
+        wanted, grown = wanted | more, bool(more)
+    return [r for r in rule_list if r.conclusion.head in wanted]
+
+
+def bound_places(rule_list: list[Rule], goal: Atom) -> list[int]:
+    """Places of a goal's constants that may restrict the facts of its head from the start.
+
+    A place may if every rule that makes facts of this head carries the argument there unchanged from each premise of
+    this head, and no rule for another head reads facts of this one: then no proof needs a fact with another constant.
+    """
+    mine = relevant(rule_list, {goal.head})
+    out = []
+    for i, c in enumerate(goal.args):
+        if is_var(c):
+            continue
+        carried = all(
+            a.head != goal.head or (r.conclusion.head == goal.head and len(a.args) > i and i < len(r.conclusion.args) and is_var(a.args[i]) and a.args[i] == r.conclusion.args[i])
+            for r in mine
+            for a in r.premises
+        )
+        if carried:
+            out.append(i)
+    return out
+
+
+def prove(facts: DataFrame, rule_list: list[Rule], goal: str, most_rounds: int = MOST_ROUNDS, timeout_s: float = TIMEOUT_S) -> DataFrame:
+    """answers() of a goal over what the rules relevant to it derive; its constants restrict the facts where that loses no proof."""
+    atom = Atom.of(parse(goal)[2])
+    mine = relevant(rule_list, {atom.head})
+    heads = {a.head for r in mine for a in (*r.premises, r.conclusion)} | {atom.head}
+    seed = facts.where(F.col("head").isin(list(heads)))
+    for i in bound_places(rule_list, atom):
+        seed = seed.where((F.col("head") != atom.head) | (F.get("args", F.lit(i)) == atom.args[i]))
+    return answers(chain(seed, mine, most_rounds, timeout_s) if mine else seed, goal)
+
+
 def answers(facts: DataFrame, goal: str) -> DataFrame:
     """Bindings of the variables of a goal `(: $prf (Head ...) $tv)`, with truth value and trace; named without their $."""
     e = parse(goal)

@@ -123,12 +123,12 @@ class KnowledgeBase:
                 rules += chaining.rules(t)
             except ValueError:
                 continue  # a rule the engine has no form for proves nothing
-        known = chaining.chain(chaining.facts_of(stored), rules, self.settings.chaining_max_steps, self.settings.chaining_timeout)
+        facts = written(chaining.facts_of(stored), "stored-facts")
         for i, g in enumerate(goals):
             try:
-                m = chaining.answers(known, g).select("trace").first()
+                m = chaining.prove(facts, rules, g, self.settings.chaining_max_steps, self.settings.chaining_timeout).select("trace").first()
             except ValueError:
-                continue
+                continue  # a goal that is no flat atom
             if m is not None:
                 ids = self.spark.createDataFrame([(x,) for x in m.trace], "id string").distinct()
                 used = stored.withColumn("id", atoms.statement_id(F.col("raw"))).join(ids, "id").groupBy("id").agg(F.min_by("raw", "seq").alias("raw"))

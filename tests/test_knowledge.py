@@ -124,3 +124,19 @@ def test_hints_of_blank(spark):
 def test_prepared_context(spark):
     df = spark.createDataFrame([(["; a"], ["(x  y)", "(x y)", None]), (None, None)], "h array<string>, c array<string>")
     assert [r.p for r in df.select(P.prepared(F.col("h"), F.col("c")).alias("p")).collect()] == [["; a", "(x y)"], []]
+
+
+def test_goal_direction(spark):
+    part = "(: p (Implication (Premises (At $a $b) (Part $b $c)) (Conclusions (At $a $c))) (STV 1 1))"
+    both = "(: q (Implication (Premises (At $a $b) (At $b $c)) (Conclusions (At $a $c))) (STV 1 1))"
+    other = "(: o (Implication (Premises (At $a $b) (Big $b)) (Conclusions (Lost $a))) (STV 1 1))"
+    rules = lambda *ts: [r for t in ts for r in C.rules(t)]
+    assert {r.name for r in C.relevant(rules(part, other), {"At"})} == {"p"} and {r.name for r in C.relevant(rules(part, other), {"Lost"})} == {"p", "o"}
+    assert C.bound_places(rules(part), C.Atom("At", ("x", "y"))) == [0] and C.bound_places(rules(both), C.Atom("At", ("x", "$y"))) == []
+    assert C.bound_places(rules(part, other), C.Atom("Lost", ("x",))) == [0] and C.bound_places([], C.Atom("At", ("x", "y"))) == [0, 1]
+    given = [f"(: f{i} (At n{i} n{i + 1}) (STV 1 1))" for i in range(4)] + ["(: g (Part n1 n9) (STV 1 1))", "(: h (Big n9) (STV 1 1))"]
+    f = facts(spark, *given)
+    for goal, want in (("(: $prf (At n0 $y) $tv)", {"n1", "n9"}), ("(: $prf (At $y n9) $tv)", {"n0"})):
+        assert {r.y for r in C.prove(f, rules(part, other), goal).collect()} == want
+    assert {r.y for r in C.prove(f, rules(part, both, other), "(: $prf (Lost $y) $tv)").collect()} == {"n0"}
+    assert {r.y for r in C.prove(f, rules(both), "(: $prf (At n0 $y) $tv)").collect()} == {"n1", "n2", "n3", "n4"}
