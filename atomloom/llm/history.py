@@ -22,13 +22,11 @@ from atomloom.session import written
 
 COUNTERS = 1 << 20
 MERGES = 8
-#: A chunk that occurs more often, beyond what a counter holds of others, is common.
-HOT = 30
 #: Words sets looked up by broadcast; more of them are joined by shuffle.
 BROADCAST_ROWS = 500_000
 #: Common words against all words of both, as a fraction: 4/5.
 NUMERATOR, DENOMINATOR = 4, 5
-SIGNATURE = "rec_table string, id bigint, batch_no int, root_a bigint, root_b bigint, bag bigint, words int, chunks array<bigint>, sizes array<int>"
+SIGNATURE = "rec_table string, id bigint, batch_no int, root_a bigint, root_b bigint, bag bigint, words int, chunks array<bigint>"
 
 
 def _seeds(tables: list[str]) -> np.ndarray:
@@ -41,7 +39,7 @@ def signatures(recs: DataFrame, with_elements: bool = False) -> DataFrame:
     """One row of SIGNATURE for each record with at least one statement; recs is (rec_table, id, batch_no, items).
 
     root_a and root_b are the digest of the sorted plain forms, bag that of the words as often as they occur, chunks
-    the hashes of the chunks, sizes how many of them each statement has; with_elements adds elements array<int>, one hash for each occurrence of a word. A record
+    the hashes of the chunks; with_elements adds elements array<int>, one hash for each occurrence of a word. A record
     of punctuation only has no words. A null name of the table is an error.
     """
 
@@ -51,8 +49,8 @@ def signatures(recs: DataFrame, with_elements: bool = False) -> DataFrame:
             n = batch.num_rows
             seed = _seeds(batch.column(0).to_pylist())
             root = np.frombuffer(b"".join(b.root), np.uint64).reshape(-1, 2)
-            columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array((x ^ seed).view(np.int64)) for x in (root[:, 0], root[:, 1], b.bag)), pa.array(b.words.astype(np.int32)), C.lists(b.chunk ^ seed[b.chunk_of], b.chunk_of, n), C.lists(*b.statement_sizes(), n)]
-            names = ["rec_table", "id", "batch_no", "root_a", "root_b", "bag", "words", "chunks", "sizes"]
+            columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array((x ^ seed).view(np.int64)) for x in (root[:, 0], root[:, 1], b.bag)), pa.array(b.words.astype(np.int32)), C.lists(b.chunk ^ seed[b.chunk_of], b.chunk_of, n)]
+            names = ["rec_table", "id", "batch_no", "root_a", "root_b", "bag", "words", "chunks"]
             if with_elements:
                 columns.append(C.lists(elements32(b), b.element_of, n))
                 names.append("elements")
@@ -86,16 +84,14 @@ def counters(signed: DataFrame) -> np.ndarray:
     return sum((np.frombuffer(zlib.decompress(r.sums), np.int64) for r in parts), np.zeros(COUNTERS, np.int64))
 
 
-def lookups(signed: DataFrame, counts: np.ndarray | None, refine: bool = True) -> DataFrame:
+def lookups(signed: DataFrame, counts: np.ndarray | None) -> DataFrame:
     """(chunk, bag, low, high, words): the rarest chunks of each set of words, or all of them without counts.
 
     The order by count, then hash, is the same for all records, so two records that share most chunks share rare ones.
-    With refine a chunk that is common all the same is looked up together with the rarest other chunk of its
-    statement, so a common chunk leads to few records; one that is a whole statement stays as it is. low and high are
+    A common chunk is looked up like any other. low and high are
     the least and greatest batch_no of the records with these words, combined within each Arrow batch already, so
     copies of one record are few rows before they are shuffled.
     """
-    load = 0 if counts is None else counts.mean()
     shared = signed.sparkSession.sparkContext.broadcast(None if counts is None else np.minimum(counts, 2**31 - 1).astype(np.int32))
 
     def run(batches):
@@ -115,19 +111,7 @@ def lookups(signed: DataFrame, counts: np.ndarray | None, refine: bool = True) -
             place = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
             if counts is not None:
                 own = own[place < many[at[own]] // 3 + 1]
-            key = chunk[own]
-            if refine and counts is not None and len(own):
-                sizes = batch.column(4).flatten().to_numpy()
-                statement = np.repeat(np.arange(len(sizes)), sizes)
-                order = np.lexsort((chunk, rank, statement))
-                first = np.searchsorted(statement, statement[own])
-                last = np.searchsorted(statement, statement[own], "right")
-                one, two = order[first], order[np.minimum(first + 1, last - 1)]
-                other = np.where(chunk[one] != key, chunk[one], chunk[two])
-                low, high = np.minimum(key, other).view(np.uint64), np.maximum(key, other).view(np.uint64)
-                both = C.mix(low * np.uint64(0x9E3779B97F4A7C15) + high).view(np.int64)
-                key = np.where((rank[own] > HOT + 2 * load) & (other != key), both, key)
-            at, chunk = at[own], key
+            at, chunk = at[own], chunk[own]
             order = np.lexsort((number[at], bag[at], chunk))
             at, chunk = at[order], chunk[order]
             new = np.ones(len(at), bool)
@@ -136,7 +120,7 @@ def lookups(signed: DataFrame, counts: np.ndarray | None, refine: bool = True) -
             last = np.r_[first[1:], len(at)] - 1 if len(at) else first
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in (chunk[first], bag[at[first]], number[at[first]], number[at[last]], words[at[first]])], names=["chunk", "bag", "low", "high", "words"])
 
-    return signed.where("words > 0").select("batch_no", "bag", "words", "chunks", "sizes").mapInArrow(run, "chunk bigint, bag bigint, low int, high int, words int")
+    return signed.where("words > 0").select("batch_no", "bag", "words", "chunks").mapInArrow(run, "chunk bigint, bag bigint, low int, high int, words int")
 
 
 def classes(postings: DataFrame) -> DataFrame:
@@ -235,7 +219,7 @@ class Index:
         counts = self.counts + counters(signed)
         if self.batches:
             old = self._table("signatures")
-            near = written(sharing(self._table("chunks"), lookups(signed, counts, refine=False), False), "batch-chunk-pairs")
+            near = written(sharing(self._table("chunks"), lookups(signed, counts), False), "batch-chunk-pairs")
             theirs = old.join(laid(written(near.select(F.col("bag_a").alias("bag")).distinct(), "batch-bags")), "bag").dropDuplicates(["bag"])
             near = written(verified(near, theirs, signed.dropDuplicates(["bag"])), "batch-near")
             found = written(_members(near, old, signed, both_ways=False), "batch-pairs")

@@ -106,3 +106,10 @@ def test_null_keys(spark):
     rows = [(None, 1, ["a b"], "x", 1), (1, None, ["a b"], "x", 1), (2, 1, ["a b"], "x", 1), (3, 2, ["A  b"], "x", 1)]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("'t' rec_table", "id", "batch_no", "items")
     assert [(r.id_a, r.id_b) for r in history.pairs(df).collect()] == [(2, 3)]
+
+
+def test_hot_near_copies(spark):
+    rows = [(i, 1 + i % 4, [f"(: fact{i} (AtLocation red_box_on the_shelf place_nine) (STV 1.0 0.9))"], "x", 1) for i in range(200)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("'t' rec_table", "id", "batch_no", "items")
+    got = {(r.id_a, r.id_b) for r in history.pairs(df).collect()}
+    assert got == {(i, j) for i in range(200) for j in range(200) if i % 4 < j % 4}
