@@ -1,4 +1,4 @@
-"""Content-defined chunks of the statements of a record, made for whole Arrow batches at once."""
+"""Digests and occurrences of words of records, made for whole Arrow batches at once."""
 
 from __future__ import annotations
 
@@ -8,9 +8,6 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-#: A chunk ends after a word if the rolling hash over it and the word before has these bits all zero: every second place.
-CUT_MASK = np.uint64(1)
-WINDOW = 2
 CACHE_WORDS = 1_000_000
 
 _WORDS = re.compile(r"[^\W_]+|[\x00\x01]")
@@ -44,7 +41,7 @@ def statements(records: list[list[str | None] | None]) -> list[list[str]]:
 
 
 class Batch:
-    """For a batch of records: has (any statement), root (digest of the sorted plain forms), and per record the words and chunks."""
+    """For a batch of records: has (any statement), root (digest of the sorted plain forms), and per record the words."""
 
     def __init__(self, records: list[list[str | None] | None]):
         own = statements(records)
@@ -56,7 +53,6 @@ class Batch:
         code = np.fromiter(map(_hashes.__getitem__, tokens), np.uint64, len(tokens))
         is_word = code > 1
         record = np.cumsum(code == 1)[is_word]
-        statement = np.cumsum(~is_word)[is_word]
         word = code[is_word]
         n = len(word)
         self.words = np.bincount(record, minlength=len(records)) if n else np.zeros(len(records), np.int64)
@@ -74,19 +70,6 @@ class Batch:
         if n:
             starts = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
             self.bag[r[starts]] = mix(np.add.reduceat(mix(self.element ^ _PRIME), starts))
-        # chunks: cut where the rolling hash says so, and at the end of each statement
-        before = np.r_[np.zeros(min(n, 1), np.uint64), word[:-1]]
-        first = np.ones(n, bool)
-        first[1:] = statement[1:] != statement[:-1]
-        before[first] = 0
-        cut = (mix(before * _PRIME + word) & CUT_MASK) == 0
-        start = first.copy()
-        start[1:] |= cut[:-1]
-        begin = np.flatnonzero(start)
-        place = at - np.maximum.accumulate(np.where(start, at, 0))
-        power = np.cumprod(np.r_[np.ones(1, np.uint64), np.full(int(place.max(initial=0)), _PRIME)])
-        self.chunk = mix(np.add.reduceat(word * power[place], begin)) if n else word
-        self.chunk_of = record[begin]
 
 
 def lists(values: np.ndarray, of: np.ndarray, n: int) -> pa.Array:

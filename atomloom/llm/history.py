@@ -1,10 +1,11 @@
-"""Problem 6: new batches against all history, by content-defined chunks.
-
-Statements are cut into chunks where a rolling hash over their words says so. A chunk table leads from chunk hashes to
-records; records that share a chunk are compared by what they have in common, counted over all words. Of a record only
-its rarest chunks are looked up, a third of them and one more: of two records that have four fifths of their words in
-common, an edit breaks at most two chunks of one statement, so some of the rarest stay whole. How rare a chunk is comes
-from a table of counters over all records, of a fixed size.
+"""Problem 6: new batches against all history, by the rarest words of each record.
+
+A posting leads from an occurrence of a word to records; records that share one among their rarest are compared by
+what they have in common, counted over all words. If two records have four fifths of all words in common, these are at
+least a = ceil(4/9 (m + n)) of their m and n, so in any order that is the same for all records they share one of the
+first m - a + 1 and n - a + 1 of each: no pair is lost, whatever was edited where. How rare a word is comes from a
+table of counters over all records, of a fixed size; it decides the work only. Chunks of several words have no such
+bound, since an edit breaks all chunks it touches.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ MERGES = 8
 BROADCAST_ROWS = 500_000
 #: Common words against all words of both, as a fraction: 4/5.
 NUMERATOR, DENOMINATOR = 4, 5
-SIGNATURE = "rec_table string, id bigint, batch_no int, root_a bigint, root_b bigint, bag bigint, words int, chunks array<bigint>"
+SIGNATURE = "rec_table string, id bigint, batch_no int, root_a bigint, root_b bigint, bag bigint, words int, occurrences array<bigint>"
 
 
 def _seeds(tables: list[str]) -> np.ndarray:
@@ -38,8 +39,8 @@ def _seeds(tables: list[str]) -> np.ndarray:
 def signatures(recs: DataFrame, with_elements: bool = False) -> DataFrame:
     """One row of SIGNATURE for each record with at least one statement; recs is (rec_table, id, batch_no, items).
 
-    root_a and root_b are the digest of the sorted plain forms, bag that of the words as often as they occur, chunks
-    the hashes of the chunks; with_elements adds elements array<int>, one hash for each occurrence of a word. A record
+    root_a and root_b are the digest of the sorted plain forms, bag that of the words as often as they occur,
+    occurrences the hash of each occurrence of a word; with_elements adds elements array<int>, one hash for each occurrence of a word. A record
     of punctuation only has no words. A null name of the table is an error.
     """
 
@@ -49,8 +50,8 @@ def signatures(recs: DataFrame, with_elements: bool = False) -> DataFrame:
             n = batch.num_rows
             seed = _seeds(batch.column(0).to_pylist())
             root = np.frombuffer(b"".join(b.root), np.uint64).reshape(-1, 2)
-            columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array((x ^ seed).view(np.int64)) for x in (root[:, 0], root[:, 1], b.bag)), pa.array(b.words.astype(np.int32)), C.lists(b.chunk ^ seed[b.chunk_of], b.chunk_of, n)]
-            names = ["rec_table", "id", "batch_no", "root_a", "root_b", "bag", "words", "chunks"]
+            columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array((x ^ seed).view(np.int64)) for x in (root[:, 0], root[:, 1], b.bag)), pa.array(b.words.astype(np.int32)), C.lists(b.element ^ seed[b.element_of], b.element_of, n)]
+            names = ["rec_table", "id", "batch_no", "root_a", "root_b", "bag", "words", "occurrences"]
             if with_elements:
                 columns.append(C.lists(elements32(b), b.element_of, n))
                 names.append("elements")
@@ -64,7 +65,7 @@ def elements32(b: C.Batch) -> np.ndarray:
 
 
 def counters(signed: DataFrame) -> np.ndarray:
-    """How often the chunks of each counter occur, over all records: partial sums in the tasks, MERGES of them to the driver."""
+    """How often the occurrences of words of each counter occur, over all records: partial sums in the tasks, MERGES of them to the driver."""
 
     def count(batches):
         total = np.zeros(COUNTERS, np.int64)
@@ -80,61 +81,72 @@ def counters(signed: DataFrame) -> np.ndarray:
             total += np.frombuffer(zlib.decompress(code.as_py()), np.int64)
         return pa.table({"sums": [zlib.compress(total.tobytes(), 1)]}, schema=pa.schema([("sums", pa.binary())]))
 
-    parts = signed.select("chunks").mapInArrow(count, "part int, sums binary").groupBy("part").applyInArrow(merge, "sums binary").collect()
+    parts = signed.select("occurrences").mapInArrow(count, "part int, sums binary").groupBy("part").applyInArrow(merge, "sums binary").collect()
     return sum((np.frombuffer(zlib.decompress(r.sums), np.int64) for r in parts), np.zeros(COUNTERS, np.int64))
 
 
 def lookups(signed: DataFrame, counts: np.ndarray | None) -> DataFrame:
-    """(chunk, bag, low, high, words): the rarest chunks of each set of words, or all of them without counts.
+    """(key, bag, low, high, words, reach): the rarest words of each set of words, or all of them without counts.
 
-    The order by count, then hash, is the same for all records, so two records that share most chunks share rare ones.
-    A common chunk is looked up like any other. low and high are
-    the least and greatest batch_no of the records with these words, combined within each Arrow batch already, so
-    copies of one record are few rows before they are shuffled.
+    The order by count, then hash, is the same for all records. reach is the greatest number of words of a set that
+    can still be a near-copy if this is the first word both share; words without a reach to any are left out. low and
+    high are the least and greatest batch_no of the records with these words, combined within each Arrow batch
+    already, so copies of one record are few rows before they are shuffled.
     """
     shared = signed.sparkSession.sparkContext.broadcast(None if counts is None else np.minimum(counts, 2**31 - 1).astype(np.int32))
+    both = NUMERATOR + DENOMINATOR
 
     def run(batches):
         counts = shared.value
         for batch in batches:
             number, bag, words = (batch.column(i).to_numpy() for i in (0, 1, 2))
-            column = batch.column(3)
-            at = np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
-            chunk = column.flatten().to_numpy()
-            rank = counts[chunk.view(np.uint64) & np.uint64(COUNTERS - 1)] if counts is not None else np.zeros(len(chunk), np.int32)
-            order = np.lexsort((chunk, rank, at))
-            a, c = at[order], chunk[order]
-            new = np.ones(len(a), bool)
-            new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-            own = order[new]
-            many = np.bincount(at[own], minlength=batch.num_rows)
-            place = np.arange(len(own)) - np.repeat(np.cumsum(many) - many, many)
-            if counts is not None:
-                own = own[place < many[at[own]] // 3 + 1]
-            at, chunk = at[own], chunk[own]
-            order = np.lexsort((number[at], bag[at], chunk))
-            at, chunk = at[order], chunk[order]
-            new = np.ones(len(at), bool)
-            new[1:] = (chunk[1:] != chunk[:-1]) | (bag[at[1:]] != bag[at[:-1]])
+            order = np.lexsort((number, bag))
+            new = np.ones(len(order), bool)
+            new[1:] = bag[order[1:]] != bag[order[:-1]]
             first = np.flatnonzero(new)
-            last = np.r_[first[1:], len(at)] - 1 if len(at) else first
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (chunk[first], bag[at[first]], number[at[first]], number[at[last]], words[at[first]])], names=["chunk", "bag", "low", "high", "words"])
-
-    return signed.where("words > 0").select("batch_no", "bag", "words", "chunks").mapInArrow(run, "chunk bigint, bag bigint, low int, high int, words int")
+            low, high = number[order[first]], number[order[np.r_[first[1:], len(order)] - 1 if len(order) else first]]
+            one = batch.column(3).take(pa.array(order[first]))
+            bag, words = bag[order[first]], words[order[first]].astype(np.int64)
+            at = np.repeat(np.arange(len(one)), np.diff(one.offsets.to_numpy()))
+            key = one.flatten().to_numpy()
+            n = words[at]
+            if counts is None:
+                reach = n * DENOMINATOR // NUMERATOR
+            else:
+                order = np.lexsort((key, counts[key.view(np.uint64) & np.uint64(COUNTERS - 1)], at))
+                at, key = at[order], key[order]  # at stays as it is: it leads the order
+                many = np.bincount(at, minlength=len(one))
+                place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                # place <= n - a, where a = ceil(4/9 (m + n)) for a set of m words
+                reach = (both * (n - place) - NUMERATOR * n) // NUMERATOR
+                keep = DENOMINATOR * reach >= NUMERATOR * n
+                at, key, n, reach = at[keep], key[keep], n[keep], reach[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, bag[at], low[at], high[at], n.astype(np.int32), reach.astype(np.int32))], names=["key", "bag", "low", "high", "words", "reach"])
+
+    return signed.where("words > 0").select("batch_no", "bag", "words", "occurrences").mapInArrow(run, "key bigint, bag bigint, low int, high int, words int, reach int")
 
 
 def classes(postings: DataFrame) -> DataFrame:
-    """One row for each chunk and set of words; laid by chunk, so the join by chunk needs no further shuffle."""
+    """One row for each key and set of words; laid by key, so the join by key needs no further shuffle."""
     n = max(1, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return postings.repartition(n, "chunk").groupBy("chunk", "bag").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("words").alias("words"))
+    return postings.repartition(n, "key").groupBy("key", "bag").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("words").alias("words"), F.max("reach").alias("reach"))
 
 
 def sharing(old: DataFrame, new: DataFrame, ordered: bool) -> DataFrame:
-    """(bag_a, bag_b) of those that share a chunk, are in different batches and near enough in their number of words."""
+    """(bag_a, bag_b) of those that share a key, are in different batches and within reach of each other.
+
+    ordered: both are all postings, each pair is made once, from the set with fewer words; of that one only few
+    postings reach a set as large as itself.
+    """
     a, b = old.alias("a"), new.alias("b")
-    cond = F.col("a.chunk") == F.col("b.chunk")
-    cond &= (DENOMINATOR * F.col("a.words") >= NUMERATOR * F.col("b.words")) & (DENOMINATOR * F.col("b.words") >= NUMERATOR * F.col("a.words"))
-    cond &= (F.col("a.bag") < F.col("b.bag")) & ((F.col("a.low") < F.col("b.high")) | (F.col("b.low") < F.col("a.high"))) if ordered else (F.col("a.bag") != F.col("b.bag")) & (F.col("a.low") < F.col("b.high"))
+    if ordered:
+        a = old.where("reach >= words").alias("a")
+    cond = (F.col("a.key") == F.col("b.key")) & (F.col("b.words") <= F.col("a.reach")) & (F.col("a.words") <= F.col("b.reach"))
+    if ordered:
+        cond &= (F.col("a.words") < F.col("b.words")) | ((F.col("a.words") == F.col("b.words")) & (F.col("a.bag") < F.col("b.bag")))
+        cond &= (F.col("a.low") < F.col("b.high")) | (F.col("b.low") < F.col("a.high"))
+    else:
+        cond &= (F.col("a.bag") != F.col("b.bag")) & (F.col("a.low") < F.col("b.high"))
     return a.join(b, cond).select(F.col("a.bag").alias("bag_a"), F.col("b.bag").alias("bag_b")).distinct()
 
 
@@ -174,7 +186,7 @@ def pairs(recs: DataFrame) -> DataFrame:
     recs = recs.where("id is not null and batch_no is not null")
     signed = written(signatures(recs), "signatures")
     post = classes(lookups(signed, counters(signed)))
-    near = written(sharing(post, post, True), "chunk-pairs")
+    near = written(sharing(post, post, True), "near-pairs")
     bags = written(near.select(F.explode(F.array("bag_a", "bag_b")).alias("bag")).distinct(), "bags")
     words = written(elements(recs, signed, laid(bags)), "elements")
     return _members(written(verified(near, words, words), "near"), signed, signed, both_ways=True)
@@ -198,10 +210,11 @@ def _members(near: DataFrame, old: DataFrame, new: DataFrame, both_ways: bool) -
 
 
 class Index:
-    """A chunk table that is kept in a folder and grows by each accepted batch.
+    """A table of postings that is kept in a folder and grows by each accepted batch.
 
-    A batch is looked up by its rarest chunks in the chunks of all that was accepted before; of the history only the
-    narrow chunk table and the signatures of records that share a chunk are read, and nothing of it is made anew.
+    A batch is looked up by its rarest words in the words of all that was accepted before: these are kept in full, since
+    how rare a word is changes from batch to batch. Of the history only the narrow table of postings and the
+    signatures of records that share a rare word are read, and nothing of it is made anew.
     """
 
     def __init__(self, spark, folder: str):
@@ -219,13 +232,13 @@ class Index:
         counts = self.counts + counters(signed)
         if self.batches:
             old = self._table("signatures")
-            near = written(sharing(self._table("chunks"), lookups(signed, counts), False), "batch-chunk-pairs")
+            near = written(sharing(self._table("postings"), lookups(signed, counts), False), "batch-near-pairs")
             theirs = old.join(laid(written(near.select(F.col("bag_a").alias("bag")).distinct(), "batch-bags")), "bag").dropDuplicates(["bag"])
             near = written(verified(near, theirs, signed.dropDuplicates(["bag"])), "batch-near")
             found = written(_members(near, old, signed, both_ways=False), "batch-pairs")
         else:
             found = self.spark.createDataFrame([], "rec_table string, id_a bigint, id_b bigint")
-        signed.write.mode("append").parquet(f"{self.folder}/signatures")
-        lookups(signed, None).write.mode("append").parquet(f"{self.folder}/chunks")
+        signed.drop("occurrences").write.mode("append").parquet(f"{self.folder}/signatures")
+        lookups(signed, None).write.mode("append").parquet(f"{self.folder}/postings")
         self.counts, self.batches = counts, self.batches + 1
         return found

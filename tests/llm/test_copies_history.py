@@ -113,3 +113,21 @@ def test_hot_near_copies(spark):
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("'t' rec_table", "id", "batch_no", "items")
     got = {(r.id_a, r.id_b) for r in history.pairs(df).collect()}
     assert got == {(i, j) for i in range(200) for j in range(200) if i % 4 < j % 4}
+
+
+@pytest.mark.parametrize("n", [9, 18, 36, 90])
+def test_edits_anywhere(spark, tmp_path, n):
+    rng, rows = random.Random(n), []
+    for i in range(60):
+        own = [f"w{i}_{j}".replace("_", "x") for j in range(n)]
+        edited = list(own)
+        for e, j in enumerate(rng.sample(range(n), n // 9) if i % 2 else range(4, n, 9)):
+            edited[j] = f"e{i}x{e}"
+        rows += [(2 * i, 1, [" ".join(own)], "x", 1), (2 * i + 1, 2, [" ".join(edited)], "x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA).selectExpr("'t' rec_table", "id", "batch_no", "items")
+    near = {(2 * i, 2 * i + 1) for i in range(60)}
+    assert truth(rows)[0] == near
+    assert {(r.id_a, r.id_b) for r in history.pairs(df).collect()} == near
+    if n == 36:
+        index = history.Index(spark, str(tmp_path))
+        assert [{(r.id_a, r.id_b) for r in index.add(df.where(f"batch_no = {b}")).collect()} for b in (1, 2)] == [set(), near]
