@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import time
+import warnings
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -177,9 +178,11 @@ def best(df: DataFrame) -> DataFrame:
     return out.select("head", "args", "strength", "confidence", "o.steps", "o.trace")
 
 
-def chain(facts: DataFrame, rule_list: list[Rule], most_rounds: int = MOST_ROUNDS, timeout_s: float = TIMEOUT_S) -> DataFrame:
+def chain(facts: DataFrame, rule_list: list[Rule], most_rounds: int = MOST_ROUNDS, timeout_s: float = TIMEOUT_S, whole: bool = False) -> DataFrame:
     """All facts, given and derived, at the fixpoint, or when the rounds or the time are used up.
 
+    The latter, while the last round still improved facts, is a warning, and with whole an error.
+
     In each round every rule is fired with the newest facts in each of its premises in turn and all facts in the
     others; what is no improvement is dropped. Only facts with a head that some rule reads or makes are carried
     through the rounds. Each round writes its new facts to the shared folder, which cuts lineage.
@@ -206,10 +209,20 @@ def chain(facts: DataFrame, rule_list: list[Rule], most_rounds: int = MOST_ROUND
         known = written(best(known.unionByName(better)), "facts")
         newest = better.select("head", "args").join(known, ["head", "args"])
         if time.monotonic() - began > timeout_s:
+            _unfinished(f"{timeout_s} s", whole)
             break
+    else:
+        _unfinished(f"{most_rounds} rounds", whole)
     return known.unionByName(rest)
 
 
+def _unfinished(after: str, whole: bool) -> None:
+    text = f"chaining ended after {after} while facts still improved: the result is not the fixpoint"
+    if whole:
+        raise RuntimeError(text)
+    warnings.warn(text, RuntimeWarning, stacklevel=3)
+
+
 def relevant(rule_list: list[Rule], heads: set[str]) -> list[Rule]:
     """The rules that can have a part in a proof of facts with one of the heads."""
     wanted, grown = set(heads), True

@@ -103,7 +103,7 @@ def chain_conjunctive(spark, folder):
 def chain_transitive(spark, folder):
     """Locations through locations and parts, to the fixpoint."""
     rules = [r for t in RULES for r in C.rules(t)]
-    return _flat(C.chain(_facts(spark, folder).where("head in ('AtLocation', 'PartOf')"), rules, timeout_s=600))
+    return _flat(C.chain(_facts(spark, folder).where("head in ('AtLocation', 'PartOf')"), rules, timeout_s=600, whole=True))
 
 
 def chain_transitive_cte(spark, folder):
@@ -139,7 +139,7 @@ def chain_compare(spark, folder):
 def chain_or_not(spark, folder):
     """Rules with alternatives and with explicit negation, one feeding the other."""
     rules = [r for t in OR_NOT for r in C.rules(t)]
-    return _flat(C.chain(_balances(spark, folder), rules, timeout_s=600).where("head in ('Rich', 'Lend')"))
+    return _flat(C.chain(_balances(spark, folder), rules, timeout_s=600, whole=True).where("head in ('Rich', 'Lend')"))
 
 
 def _quantities(spark, folder):

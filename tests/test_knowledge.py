@@ -140,3 +140,14 @@ def test_goal_direction(spark):
         assert {r.y for r in C.prove(f, rules(part, other), goal).collect()} == want
     assert {r.y for r in C.prove(f, rules(part, both, other), "(: $prf (Lost $y) $tv)").collect()} == {"n0"}
     assert {r.y for r in C.prove(f, rules(both), "(: $prf (At n0 $y) $tv)").collect()} == {"n1", "n2", "n3", "n4"}
+
+
+def test_chain_without_fixpoint_is_no_silent_result(spark):
+    rule = C.rules("(: in_in (Implication (Premises (At $a $b) (At $b $c)) (Conclusions (At $a $c))) (STV 1.0 1.0))")
+    given = spark.createDataFrame([("At", [f"n{i}", f"n{i + 1}"], 1.0, 1.0, 0, [f"f{i}"]) for i in range(6)], C.FACT)
+    for limits in ({"most_rounds": 1}, {"timeout_s": 0.0}):
+        with pytest.raises(RuntimeError, match="not the fixpoint"):
+            C.chain(given, rule, whole=True, **limits)
+        with pytest.warns(RuntimeWarning, match="not the fixpoint"):
+            C.chain(given, rule, **limits)
+    assert C.chain(given, rule, whole=True).count() == 21
