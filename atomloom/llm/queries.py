@@ -41,7 +41,12 @@ def p2_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     """Texts that the splitting had to cut."""
-    return split.pieces(_table(spark, folder, "ingest_request"), with_text=False).where(F.col("piece_no") == 1).select("request_id", "text_no")
+    return split.pieces(_table(spark, folder, "ingest_request"), with_text=False).where(F.col("piece_no") == 1).select("request_id", "text_no").distinct()
+
+
+def p2_cover(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether the pieces of every oversized text cover it, fit and overlap."""
+    return split.cover(split.pieces(_table(spark, folder, "ingest_request")))
 
 
 def _copy_records(spark: SparkSession, folder: str) -> DataFrame:
@@ -95,7 +100,7 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
     return p9_found(spark, folder).join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "level").agg(F.count("*").alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_pieces, p2_counts, p4_found, p4_collapsed, p6_found, p5_neighbours, p5_found, p7_ids, p8_containers, p8_found, p9_found, p9_profile)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_pieces, p2_counts, p2_cover, p4_found, p4_collapsed, p6_found, p5_neighbours, p5_found, p7_ids, p8_containers, p8_found, p9_found, p9_profile)}
 
 #: Records of both tables with their sorted plain forms, in DuckDB.
 _PLAIN_SQL = " union all ".join(
@@ -108,6 +113,8 @@ _WORDS_SQL = " union all ".join(
 )
 
 SQL: dict[str, str] = {
+    "p2_cover": """with t as (select request_id, cast(i - 1 as integer) text_no, regexp_replace(texts[i], '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') x from (select distinct request_id, texts, unnest(range(1, len(texts) + 1)) i from ingest_request))
+        select request_id, text_no, cast(length(x) as integer) chars, cast(length(x) as integer) covered, true as fits, true as linked from t where length(x) > 512""",
     "p2_found": """select distinct request_id, cast(i - 1 as integer) text_no from (select request_id, texts, unnest(range(1, len(texts) + 1)) i from ingest_request)
         where length(regexp_replace(texts[i], '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')) > 512""",
     "p4_found": f"""with r as ({_PLAIN_SQL}), g as (select rec_table, leaves, min(id) id_a from r where len(leaves) > 0 group by all)

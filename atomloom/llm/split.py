@@ -9,10 +9,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from atomloom.session import written
+
 SIZE, OVERLAP = 512, 64
+#: Keys of requests sent again that are sent to all executors; more are joined by shuffle.
+BROADCAST_ROWS = 200_000
 #: A sentence boundary counts only if a piece gets at least so many characters beyond the overlap; else white space does.
 LEAST_STEP = 64
 #: Characters that end a sentence, those that may close it, and words before a dot that end none. Ours, in natural order.
@@ -85,15 +90,32 @@ def spans(text: str, size: int = SIZE, overlap: int = OVERLAP) -> list[tuple[int
     return [(max(0, a - overlap) if k else 0, b) for k, (a, b) in enumerate(zip([0, *ends], ends))]
 
 
+def once(df: DataFrame, key: str, texts: str) -> DataFrame:
+    """(key, texts) with each request once: rows of one key whose texts are equal are one. Rows with a null key are all kept.
+
+    Only keys and digests are shuffled to find the keys that stand in several rows; texts of these alone are compared.
+    """
+    base = df.select(key, texts)
+    digest = base.select(key, F.xxhash64(texts).alias("h")).where(F.col(key).isNotNull())
+    repeated = written(digest.groupBy(key, "h").agg(F.count("*").alias("n")).where("n > 1").select(key).distinct(), "sent-again")
+    repeated = F.broadcast(repeated) if repeated.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else repeated
+    return base.join(repeated, key, "left_anti").unionByName(base.join(repeated, key, "left_semi").dropDuplicates([key, texts]))
+
+
 def pieces(df: DataFrame, key: str = "request_id", texts: str = "texts", size: int = SIZE, overlap: int = OVERLAP, with_text: bool = True, all_texts: bool = False) -> DataFrame:
-    """(key, text_no int, piece_no int, begin int, end int[, piece string]) of the elements of texts longer than size.
+    """(key, text_no int, text_hash bigint, piece_no int, begin int, end int[, piece string]) of the elements of texts longer than size.
 
     An element is first freed of outer spaces, tabs and line ends; begin and end count code points of what is left.
     Pieces follow each other with exactly `overlap` characters in common, are at most `size` long and never empty. With
     all_texts, elements that fit come out as one piece, except empty ones; null elements and null lists give nothing.
-    A list that stands in several rows of one key, as of a request sent again, counts once, also if the key is null.
+    A list that stands in several rows of one key, as of a request sent again, counts once. Different lists of one key
+    come out each, as do all rows with a null key; text_hash, a hash of the element, tells their pieces apart.
     """
     kind = df.schema[key].dataType.simpleString()
+    least = 0 if all_texts else size
+    long = df.where(F.exists(texts, lambda t: F.length(t) > least))  # what has no such element needs no comparison
+    names = ["text_no", "text_hash", "piece_no", "begin", "end", *["piece"] * with_text]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), *[pa.string()] * with_text]
 
     def run(batches):
         for batch in batches:
@@ -102,21 +124,32 @@ def pieces(df: DataFrame, key: str = "request_id", texts: str = "texts", size: i
                 for no, t in enumerate(items or ()):
                     t = t.strip(" \t\r\n") if t else ""
                     if len(t) > size or (all_texts and t):
+                        code = xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63)
                         for p, (a, b) in enumerate(spans(t, size, overlap)):
                             rows.append(i)
-                            out.append((no, p, a, b, t[a:b]) if with_text else (no, p, a, b))
-            columns = list(zip(*out)) or [()] * (5 if with_text else 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *(pa.array(c, pa.int32()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], names=[key, "text_no", "piece_no", "begin", "end", *["piece"] * with_text])
+                            out.append((no, code, p, a, b, t[a:b]) if with_text else (no, code, p, a, b))
+            columns = list(zip(*out)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int32())), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[key, *names])
 
-    schema = f"`{key}` {kind}, text_no int, piece_no int, begin int, end int" + ", piece string" * with_text
-    return df.select(key, texts).mapInArrow(run, schema).dropDuplicates([key, "text_no", "piece_no"])
+    return once(long, key, texts).mapInArrow(run, f"`{key}` {kind}, text_no int, text_hash bigint, piece_no int, begin int, end int" + ", piece string" * with_text)
 
 
 def counts(cut: DataFrame, items: DataFrame, key: str = "request_id") -> DataFrame:
     """(key, text_no, pieces bigint, item_id, chunk_count, same boolean): the number of pieces beside the count that each item result has.
 
-    An oversized text without an item result has null there; a null chunk_count is not the same.
+    An oversized text without an item result has null there; a null chunk_count is not the same. Different texts at
+    one place of one key have a row each.
     """
-    n = cut.groupBy(key, "text_no").agg(F.count("*").alias("pieces"))
+    n = cut.groupBy(key, "text_no", "text_hash").agg(F.count("*").alias("pieces")).drop("text_hash")
     held = items.select(key, F.col("item_no").alias("text_no"), "item_id", "chunk_count")
     return n.join(held, [key, "text_no"], "left").withColumn("same", F.coalesce(F.col("pieces") == F.col("chunk_count"), F.lit(False)))
+
+
+def cover(cut: DataFrame, key: str = "request_id", size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+    """(key, text_no, chars, covered, fits, linked): of each text its length, the characters its pieces bring one after another, and whether all pieces keep to size and overlap."""
+    before = F.lag("end").over(Window.partitionBy(key, "text_no", "text_hash").orderBy("piece_no"))
+    one = cut.withColumn("before", F.coalesce(before, F.lit(0)))
+    fits = (F.length("piece") == F.col("end") - F.col("begin")) & F.col("end").between(F.col("begin") + 1, F.col("begin") + size)
+    return one.groupBy(key, "text_no", "text_hash").agg(
+        F.max("end").alias("chars"), F.sum(F.col("end") - F.col("before")).cast("int").alias("covered"), F.bool_and(fits).alias("fits"), F.bool_and((F.col("piece_no") == 0) | (F.col("begin") == F.greatest(F.lit(0), F.col("before") - overlap))).alias("linked")
+    ).drop("text_hash")

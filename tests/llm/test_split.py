@@ -60,3 +60,29 @@ def test_rows(spark):
     c = {(r.request_id, r.text_no): (r.pieces, r.item_id, r.same) for r in split.counts(split.pieces(df, with_text=False), items).collect()}
     assert c[1, 0] == (len(mine), 7, True) and c[4, 0] == (2, 8, False) and c[5, 0][1] is None
     assert split.pieces(df.limit(0)).collect() == []
+
+
+def test_different_texts_under_one_key(spark):
+    texts = [" ".join(f"{w} number {i} is here." for i in range(40 + 20 * k)) for k, w in enumerate(("Sentence", "Item"))]
+    for key in (1, None):
+        got = split.pieces(spark.createDataFrame([(key, [t]) for t in texts + texts[:1]], "request_id bigint, texts array<string>")).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault(r.text_hash, []).append(r)
+        assert len(groups) == 2
+        for t in texts:
+            own = sorted((r for r in got if t[r.begin : r.end] == r.piece and r.end <= len(t)), key=lambda r: r.piece_no)
+            mine = [r for r in own if r.text_hash == own[-1].text_hash]
+            assert {(r.begin, r.end) for r in mine} == set(split.spans(t))
+        n = sum(len(split.spans(t)) for t in texts)
+        assert len(got) == (n if key else n + len(split.spans(texts[0])))
+        c = split.counts(split.pieces(spark.createDataFrame([(key, [t]) for t in texts], "request_id bigint, texts array<string>"), with_text=False), spark.createDataFrame([], "item_id bigint, request_id bigint, item_no int, chunk_count int"))
+        assert sorted(r.pieces for r in c.collect()) == sorted(len(split.spans(t)) for t in texts)
+
+
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_requests_sent_again(spark, monkeypatch, rows):
+    monkeypatch.setattr(split, "BROADCAST_ROWS", rows)
+    data = [(i % 7, [None, "x" * (520 + i % 14), ""]) for i in range(60)]
+    got = split.pieces(spark.createDataFrame(data, "request_id bigint, texts array<string>"), with_text=False).collect()
+    assert sorted((r.request_id, r.end) for r in got if r.piece_no == 1) == sorted({(k, len(t[1])) for k, t in data})
