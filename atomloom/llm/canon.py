@@ -7,7 +7,7 @@ the repaired tokens bear.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atomloom.llm.copies import plain
@@ -21,8 +21,9 @@ EDITS, ONE_FROM, TWO_FROM = 2, 4, 6
 ABBREVIATION, ABBREVIATED = 6, 0.5
 #: The weight of a token of the value that nothing in the vocabulary is near, against that of a known one.
 UNKNOWN_WEIGHT = 0.25
-#: Rows of the reference list, or of the table of values, that are sent to all executors; more are shuffled.
-BROADCAST_ROWS = 100_000
+#: Rows of any one table made of the reference list, or of the table of values, that are sent to all executors; more are
+#: shuffled. Each such table is counted as it is sent, its keys and words included; a row has some 60 bytes.
+BROADCAST_ROWS = 200_000
 #: Letters with marks and digits typed for letters, with what they stand for, in natural order.
 MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
 UNMARKED = "aaaaaaceeeeiiiinooooouuuuyy"
@@ -34,7 +35,7 @@ ARGUMENT = r"\"[^\"]*\"|[^\s\p{Z},\"']+"
 
 def facts(items: DataFrame, key: str = "item_id", atoms: str = "atoms") -> DataFrame:
     """(id, atom_no int, kind, value, plain_value) of the facts with one of the predicates of KINDS; value is their last argument."""
-    e = items.select(F.col(key).cast("bigint").alias("id"), F.posexplode(atoms).alias("atom_no", "atom")).where(F.lower("atom").rlike("|".join(f"{k[:2]}.*{k[2:4]}" for k in KINDS)))
+    e = items.select(F.col(key).cast("bigint").alias("id"), F.posexplode(atoms).alias("atom_no", "atom")).where(F.lower("atom").rlike("|".join(r"[^\p{L}\p{N}]*".join(k) for k in KINDS)))
     e = e.withColumn("args", F.regexp_extract_all(F.regexp_extract("atom", FACT, 1), F.lit(ARGUMENT), F.lit(0)))
     e = e.where(F.size("args") >= 2).withColumn("kind", F.create_map(*(F.lit(x) for kv in KINDS.items() for x in kv))[plain(F.get("args", F.lit(0)))]).where("kind is not null")
     return e.select("id", "atom_no", "kind", F.element_at("args", -1).alias("value")).withColumn("plain_value", plain(F.col("value")))
@@ -58,13 +59,21 @@ def without(word: Column, times: int) -> Column:
 
 
 def keys(word: Column, typed: bool) -> Column:
-    """What the join goes by: the remains after deletions, the consonants, the first letter of what may be an abbreviation, and the singular of a plural in -ies."""
+    """What the join goes by: the remains after deletions, the consonants, the first letters of what may be an abbreviation, and the singular of a plural in -ies.
+
+    An abbreviation begins with the first letter of its word and goes on with any two later ones in their order: a word
+    has a key for each such three letters, a typed one that for its own.
+    """
+    none = F.array().cast("array<string>")
     few = F.when(F.length(word) >= TWO_FROM - 1, without(word, 2)).otherwise(without(word, 1))
+    at = lambda i: F.substring(word, i, F.lit(1))
+    pairs = lambda i: F.transform(F.sequence(i + 1, F.length(word)), lambda j: F.concat(F.lit("a"), F.substring(word, 1, 1), at(i), at(j)))
+    threes = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(2), F.length(word) - 1), pairs)))
     return F.concat(
         F.transform(few, lambda x: F.concat(F.lit("d"), x)),
         F.array(F.concat(F.lit("c"), F.regexp_replace(word, "[aeiou]", ""))),
-        F.when(F.length(word).between(3, ABBREVIATION), F.array(F.concat(F.lit("a"), F.substring(word, 1, 1)))).otherwise(F.array().cast("array<string>")) if typed else F.array(F.concat(F.lit("a"), F.substring(word, 1, 1))),
-        F.when(word.endswith("ies"), F.array(F.concat(F.lit("d"), F.regexp_replace(word, "ies$", "y")))).otherwise(F.array().cast("array<string>")),
+        F.when(F.length(word).between(3, ABBREVIATION), F.array(F.concat(F.lit("a"), F.substring(word, 1, 3)))).otherwise(none) if typed else F.when(F.length(word) >= 3, threes).otherwise(none),
+        F.when(word.endswith("ies"), F.array(F.concat(F.lit("d"), F.regexp_replace(word, "ies$", "y")))).otherwise(none),
     )
 
 
@@ -94,53 +103,58 @@ def mapped(values: DataFrame, canon: DataFrame) -> DataFrame:
     its own (or the whole value from the form written as one word, in either order). Of several the one with the
     highest soft TF-IDF score is taken, then the smallest canon_id. Null and empty values mean none.
 
-    The reference list is checked for its size before it is sent to all executors. Values are shuffled once by token
-    and once by value; every other join is with the list.
+    What is made of the reference list is counted before it is sent to all executors. Values are shuffled once by token
+    and once by value; every other join is with the list. A value meets an entry by the rarest word of it alone, so a
+    word that many values and many entries have makes no pairs.
     """
-    spark = canon.sparkSession
-    small = canon.count() <= BROADCAST_ROWS
-    lay = F.broadcast if small else (lambda x: x)
-    form = written(forms(canon), "forms").withColumn("size", F.size("words"))
+    form = written(forms(canon), "forms").withColumn("words", F.array_distinct("words")).withColumn("size", F.size("words"))
     vocabulary = form.select("kind", F.explode("words").alias("word")).groupBy("kind", "word").agg(F.count("*").alias("n"))
     total = form.groupBy("kind").agg(F.count("*").alias("all"))
-    vocabulary = vocabulary.join(lay(total), "kind").select("kind", "word", F.log(1 + F.col("all") / F.col("n")).alias("idf"))
+    vocabulary = vocabulary.join(total, "kind").select("kind", "word", F.log(1 + F.col("all") / F.col("n")).alias("idf"))
     whole = form.where("size > 1").select("kind", "form_id", F.explode(F.array(F.array_join("words", ""), F.array_join(F.reverse("words"), ""))).alias("word")).distinct()
     longest = vocabulary.select(F.max(F.length("word")).alias("n")).unionByName(whole.select(F.max(F.length("word")).alias("n"))).agg(F.max("n")).first()[0] or 0
     v = written(values.select("kind", "value", F.array_distinct(tokens(F.col("value"))).alias("typed")).where(F.size("typed") > 0), "values")
     # tokens longer than the longest word and its edits can be near none; the consonants of longer ones equal none's
     distinct = v.select("kind", F.explode("typed").alias("token")).where(F.length("token") <= longest + EDITS).distinct()
-    by_key = lay(vocabulary.withColumn("k", F.explode(keys(F.col("word"), False))).select("kind", "k", "word", "idf").distinct())
+    by_key = laid(vocabulary.withColumn("k", F.explode(keys(F.col("word"), False))).select("kind", "k", "word", "idf").distinct(), "vocabulary-keys")
     near = distinct.withColumn("k", F.explode(keys(F.col("token"), True))).join(by_key, ["kind", "k"]).select("kind", "token", "word", "idf").distinct()
     near = written(near.withColumn("sim", nearness(F.col("token"), F.col("word"))).where("sim is not null"), "repairs")
     # whole values written as one word
     single = v.where(F.size("typed") == 1).select("kind", "value", F.get("typed", F.lit(0)).alias("token")).where(F.length("token").between(TWO_FROM, longest + EDITS))
-    whole_keys = whole.withColumn("k", F.explode(without(F.col("word"), 2)))
+    whole_keys = laid(whole.withColumn("k", F.explode(without(F.col("word"), 2))), "whole-keys")
     ones = single.withColumn("k", F.explode(without(F.col("token"), 2))).join(whole_keys, ["kind", "k"]).select("kind", "value", "token", "form_id", "word").distinct()
     ones = ones.withColumn("sim", 1 - F.levenshtein("token", "word").cast("double") / F.length("word")).where(F.levenshtein("token", "word") <= EDITS)
     ones = ones.select("kind", "value", "form_id", F.col("sim").alias("score"))
-    # candidates: forms with a repaired token; their score is the weight their tokens bear
-    word_of = lay(form.select("kind", "form_id", "size", F.explode("words").alias("word")))
+    # each form with the idf of its words, to be met by its rarest one
+    weighed = form.select("kind", "form_id", "size", F.explode("words").alias("word")).join(vocabulary, ["kind", "word"]).groupBy("kind", "form_id", "size").agg(F.collect_list(F.struct("idf", "word")).alias("parts"))
+    by_rarest = laid(weighed.withColumn("word", F.array_max("parts")["word"]), "forms-by-rarest-word")
     token_of = v.select("kind", "value", F.size("typed").alias("typed_n"), F.explode("typed").alias("token"))
-    hits = token_of.join(near, ["kind", "token"]).join(word_of, ["kind", "word"])
-    best = hits.groupBy("kind", "value", "form_id", "word").agg(F.max(F.struct("sim", "token")).alias("b"), F.first("idf").alias("idf"), F.first("size").alias("size"), F.first("typed_n").alias("typed_n"))
-    whole_forms = best.groupBy("kind", "value", "form_id").agg(
-        F.sum(F.col("b.sim") * F.col("idf") * F.col("idf")).alias("dot"), F.sum(F.col("idf") * F.col("idf")).alias("square"), F.count("*").alias("n"), F.size(F.collect_set("b.token")).alias("own"), F.first("size").alias("size"), F.first("typed_n").alias("typed_n")
-    ).where("n = size and own = size")
+    repaired = token_of.join(near, ["kind", "token"]).groupBy("kind", "value", "typed_n").agg(F.collect_list(F.struct("word", "sim", "token")).alias("repairs"))
+    met = repaired.withColumn("word", F.explode(F.array_distinct(F.transform("repairs", lambda r: r["word"])))).join(by_rarest, ["kind", "word"])
+    best = lambda p: F.array_max(F.transform(F.filter("repairs", lambda r: r["word"] == p["word"]), lambda r: F.struct(r["sim"].alias("sim"), r["token"].alias("token"), p["idf"].alias("idf"))))
+    met = met.select("kind", "value", "typed_n", "form_id", "size", F.transform("parts", best).alias("parts")).where(F.forall("parts", lambda p: p.isNotNull()) & (F.size(F.array_distinct(F.transform("parts", lambda p: p["token"]))) == F.col("size")))
+    summed = lambda f: F.aggregate("parts", F.lit(0.0), lambda total, p: total + f(p))
+    met = met.withColumn("square", summed(lambda p: p["idf"] * p["idf"])).withColumn("dot", summed(lambda p: p["sim"] * p["idf"] * p["idf"]))
+    # the score: the weight that the repaired tokens bear
     extra = (F.col("typed_n") - F.col("size")) * F.col("square") / F.col("size") * UNKNOWN_WEIGHT**2
-    ranked = whole_forms.select("kind", "value", "form_id", (F.col("dot") / F.sqrt(F.col("square") * (F.col("square") + extra))).alias("score")).unionByName(ones)
-    entries = lay(form.select("form_id", "canon_id"))
-    found = ranked.join(entries, "form_id").groupBy("kind", "value").agg(F.max(F.struct("score", (-F.col("canon_id")).alias("c"))).alias("x"))
+    ranked = met.select("kind", "value", "form_id", (F.col("dot") / F.sqrt(F.col("square") * (F.col("square") + extra))).alias("score")).unionByName(ones)
+    found = ranked.join(laid(form.select("form_id", "canon_id"), "form-entries"), "form_id").groupBy("kind", "value").agg(F.max(F.struct("score", (-F.col("canon_id")).alias("c"))).alias("x"))
     return v.select("kind", "value").join(found.select("kind", "value", (-F.col("x.c")).cast("int").alias("canon_id")), ["kind", "value"], "left").withColumn("canon_id", F.coalesce("canon_id", F.lit(0)))
 
 
+def laid(df: DataFrame, label: str) -> DataFrame:
+    """df as a written table, sent to all executors if it has at most BROADCAST_ROWS rows."""
+    df = written(df, label)
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def matched(items: DataFrame, canon: DataFrame, key: str = "item_id", atoms: str = "atoms") -> DataFrame:
     """(id, atom_no, kind, value, canon_id): every fact whose last argument isn't written as a symbol, with the entry meant, 0 if none.
 
     Null lists and null, blank or malformed elements are no facts, rules neither. Repeated rows come out repeatedly.
     """
     rows = facts(items, key, atoms)
-    symbols = canon.select(plain(F.col("symbol")).alias("plain_value")).distinct()
-    rows = written(rows.join(F.broadcast(symbols) if canon.count() <= BROADCAST_ROWS else symbols, "plain_value", "left_anti"), "typed")
-    table = written(mapped(rows.select("kind", "value").distinct(), canon), "mapped")
-    table = F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+    symbols = laid(canon.select(plain(F.col("symbol")).alias("plain_value")).distinct(), "symbols")
+    rows = written(rows.join(symbols, "plain_value", "left_anti"), "typed")
+    table = laid(mapped(rows.select("kind", "value").distinct(), canon), "mapped")
     return rows.join(table, ["kind", "value"], "left").select("id", "atom_no", "kind", "value", F.coalesce("canon_id", F.lit(0)).alias("canon_id"))
