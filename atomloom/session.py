@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -16,14 +18,18 @@ _written: list[str] = []
 def _delete(spark: SparkSession) -> None:
     """Deletes the intermediate tables of this process when it ends; what can't be deleted any more is left to the folder's owner."""
     for path in _written:
-        if path.startswith("file:"):
-            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), True)
-        else:
-            try:
-                p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-                p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-            except Exception:  # noqa: BLE001 the session may be gone by now
-                return
+        try:
+            _remove(spark, path)
+        except Exception:  # noqa: BLE001 the session may be gone by now
+            return
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    if path.startswith("file:"):
+        shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), True)
+    else:
+        p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def local_session(cores: str = "*", partitions: int = 8, name: str = "atomloom") -> SparkSession:
@@ -64,15 +70,36 @@ def shared_folder(spark: SparkSession) -> str:
     return f"file://{_made[0]}"
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder; what is written there is deleted when the process ends, or at the end of a temporary() around it."""
+    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(_delete, spark)
+    _written.append(path)
+    return path
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives the loss of executors.
 
     The table is written once as compressed Parquet, which takes a fraction of what a checkpoint of rows takes.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(_delete, spark)
-    _written.append(path)
+    path = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(spark: SparkSession, keep: tuple[str, ...] = ()) -> Iterator[None]:
+    """Tables written within are deleted at the end, as soon as they are consumed, but for those with a label in keep."""
+    before = len(_written)
+    try:
+        yield
+    finally:
+        own, kept = _written[before:], []
+        for path in own:
+            if path.rsplit("/", 1)[-1].rsplit("-", 1)[0] in keep:
+                kept.append(path)
+            else:
+                _remove(spark, path)
+        _written[before:] = kept
