@@ -76,28 +76,35 @@ def orphans(refs: DataFrame, lived: DataFrame) -> DataFrame:
     refs is as references() gives it, lived as targets(); keys are compared within a kind. Empty tables on either side
     are fine: without targets every reference is an orphan.
 
-    Shuffles: distinct (key, month) of the references and the target rows once by key, to number the keys; words of
-    bits by key range; and the references once by (key, month) against the keys that failed. A hot key is one row
-    after map-side aggregation in the first two, and salted in the last; the list of hot ones has at most HOT_SHARE rows.
+    Shuffles: distinct (key, month) of references and targets, combined before it, so a hot key is one row a month,
+    however often it is named or was stored again; words of bits by key range; and the references once by (key, month)
+    against the keys that failed, salted for hot keys. The list of hot ones has at most HOT_SHARE rows. Times are
+    looked at for the keys alone that lived for a part of the month. Months without references are left out.
     """
+    spark = refs.sparkSession
     refs = refs.withColumn("period", F.coalesce(month(F.col("at").cast("timestamp")), F.lit(-1)))
-    used = refs.groupBy("kind", "key", "period").agg(F.count("*").alias("n")).withColumns({c: F.lit(None).cast("timestamp") for c in ("since", "until")})
-    rows = used.unionByName(lived.select("kind", "key", F.lit(None).cast("int").alias("period"), F.lit(None).cast("bigint").alias("n"), F.col("since").cast("timestamp").alias("since"), F.col("until").cast("timestamp").alias("until")))
-    # dictionary: a dense rank within each part of the keys
-    part = F.pmod(F.xxhash64("kind", "key"), F.lit(CODE_PARTS))
-    rows = rows.withColumn("part", part)
+    lived = lived.select("kind", "key", F.col("since").cast("timestamp").alias("since"), F.col("until").cast("timestamp").alias("until"))
+    used = written(refs.groupBy("kind", "key", "period").agg(F.count("*").alias("n")), "reference-uses")
+    first, last, total = used.agg(F.min(F.when(F.col("period") >= 0, F.col("period"))), F.max("period"), F.sum("n")).first()
+    first, last = (F.lit(0), F.lit(-1)) if first is None else (F.lit(first), F.lit(last))
+    no, yes = F.lit(False), F.lit(True)
+    used = used.select("*", no.alias("begun"), no.alias("some"), no.alias("whole"))
+    # a target that still lives is one bit in the month it began (or the first that counts); it lives for all of each later month
+    still = lived.where(F.col("until").isNull() & (month(F.col("since")) <= last)).select("kind", "key", F.greatest(month(F.col("since")), first - 1).alias("period"), F.lit(0).cast("bigint").alias("n"), yes.alias("begun"), no.alias("some"), no.alias("whole"))
+    gone = lived.where(F.col("until").isNotNull() & (month(F.col("since")) <= last) & (month(F.col("until")) >= first))
+    gone = gone.select("kind", "key", "since", "until", F.explode(F.sequence(F.greatest(month(F.col("since")), first), F.least(month(F.col("until")), last))).alias("period"))
+    covers = (F.col("since") <= month_start(F.col("period"))) & (F.col("until") >= month_start(F.col("period") + 1))
+    gone = gone.select("kind", "key", "period", F.lit(0).cast("bigint").alias("n"), no.alias("begun"), yes.alias("some"), covers.alias("whole"))
+    rows = used.unionByName(still).unionByName(gone).groupBy("kind", "key", "period").agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in ("begun", "some", "whole")))
+    # dictionary: a dense rank within each part of the keys; of a key there are as many rows as months
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("kind", "key"), F.lit(CODE_PARTS)))
     rank = F.dense_rank().over(Window.partitionBy("part").orderBy("kind", "key"))
     rows = written(rows.withColumn("code", F.shiftleft(F.col("part"), PART_BITS) + rank), "reference-codes")
     word, bits = F.shiftright("code", 6).alias("word"), bit(F.col("code"))
     none = F.lit(0).cast("bigint")
-    ref_bits = rows.where("period is not null").select(word, "period", bits.alias("ref"), none.alias("since"), none.alias("any"), none.alias("full"))
-    targets_ = rows.where("since is not null")
-    # a target that still lives is one bit in the month it began; it lives for all of each later month
-    open_ = targets_.where("until is null").select(word, month(F.col("since")).alias("period"), none.alias("ref"), bits.alias("since"), none.alias("any"), none.alias("full"))
-    closed = targets_.where("until is not null").select("code", "since", "until", F.explode(F.sequence(month(F.col("since")), month(F.col("until")))).alias("period"))
-    covers = (F.col("since") <= month_start(F.col("period"))) & (F.col("until") >= month_start(F.col("period") + 1))
-    closed = closed.select(word, "period", none.alias("ref"), none.alias("since"), bits.alias("any"), F.when(covers, bits).otherwise(none).alias("full"))
-    words = ref_bits.unionByName(open_).unionByName(closed).groupBy("word", "period").agg(*(F.bit_or(c).alias(c) for c in ("ref", "since", "any", "full")))
+    bit_if = lambda c: F.when(c, bits).otherwise(none)
+    words = rows.select(word, "period", bit_if(F.col("n") > 0).alias("ref"), bit_if(F.col("begun")).alias("since"), bit_if(F.col("some")).alias("any"), bit_if(F.col("whole")).alias("full"))
+    words = words.groupBy("word", "period").agg(*(F.bit_or(c).alias(c) for c in ("ref", "since", "any", "full")))
     by_range = Window.partitionBy("word").orderBy("period")
     begun = F.coalesce(F.bit_or("since").over(by_range.rowsBetween(Window.unboundedPreceding, -1)), none)
     words = words.withColumn("begun", begun).where("ref <> 0")
@@ -109,16 +116,15 @@ def orphans(refs: DataFrame, lived: DataFrame) -> DataFrame:
     left = left.select("word", "period", "missing", "unsure", place)
     set_ = lambda c: F.call_function("shiftright", F.col(c), F.col("place")).bitwiseAND(F.lit(1)) == 1
     left = left.select((F.shiftleft("word", 6) + F.col("place")).alias("code"), "period", set_("missing").alias("missing"), set_("unsure").alias("unsure")).where("missing or unsure")
-    named = rows.where("period is not null").select("kind", "key", "code", "period").join(left, ["code", "period"]).select("kind", "key", "period", "missing")
+    named = rows.where("n > 0").select("kind", "key", "code", "period").join(left, ["code", "period"]).select("kind", "key", "period", "missing")
     named = written(named, "reference-verdicts")
-    total = rows.agg(F.sum("n")).first()[0] or 0
-    hot = refs.sparkSession.createDataFrame(rows.where(F.col("n") > max(1, total // HOT_SHARE)).select("kind", "key", "period").collect(), "kind string, key string, period int").withColumn("hot", F.lit(True))
+    hot = spark.createDataFrame(rows.where(F.col("n") > max(1, (total or 0) // HOT_SHARE)).select("kind", "key", "period").collect(), "kind string, key string, period int").withColumn("hot", F.lit(True))
     parts = F.when(F.col("hot"), F.lit(SALTS)).otherwise(F.lit(1))
     named = named.join(F.broadcast(hot), ["kind", "key", "period"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("hot")
     salted = refs.join(F.broadcast(hot), ["kind", "key", "period"], "left").withColumn("salt", F.pmod(F.xxhash64("row_id", "ref_no"), parts).cast("int")).drop("hot")
     hit = written(salted.join(named, ["kind", "key", "period", "salt"]), "reference-hits")
     # keys that lived for a part of the month: by their times
-    times = targets_.join(named.where("not missing").select("kind", "key").distinct(), ["kind", "key"]).select("kind", "key", "since", F.coalesce("until", F.lit(END_OF_TIME).cast("timestamp")).alias("until"))
+    times = lived.join(named.where("not missing").select("kind", "key").distinct(), ["kind", "key"]).select("kind", "key", "since", F.coalesce("until", F.lit(END_OF_TIME).cast("timestamp")).alias("until"))
     warm = hot.select("kind", "key", "hot").distinct()  # of hot keys the rows of all months
     doubtful = hit.drop("salt").where("not missing").join(F.broadcast(warm), ["kind", "key"], "left").withColumn("salt", F.pmod(F.xxhash64("row_id", "ref_no"), parts).cast("int")).alias("r")
     t = times.join(F.broadcast(warm), ["kind", "key"], "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).alias("t")

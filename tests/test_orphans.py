@@ -50,3 +50,16 @@ def test_empty_sides(spark):
     refs = O.references(df, "t", "id", "stored", "source", "pln")
     assert len(O.orphans(refs, O.targets(none, "source", "name", "since", "until")).collect()) == 2
     assert O.orphans(refs.limit(0), O.targets(none, "source", "name", "since", "until")).collect() == []
+
+
+def test_a_key_stored_again_and_again(spark, monkeypatch):
+    """A key with nine tenths of the targets and references: no task numbers more rows of it than there are months."""
+    tables, keep = {}, O.written
+    monkeypatch.setattr(O, "written", lambda df, label: tables.setdefault(label, keep(df, label)))
+    lived = [("hot", START + dt.timedelta(hours=6 * i), START + dt.timedelta(hours=6 * i + 3), 0) for i in range(900)] + [(f"k{i}", START, None, 0) for i in range(100)]
+    refs = [(i, START + dt.timedelta(hours=2 * i + 1), "hot", []) for i in range(900)] + [(900 + i, START + dt.timedelta(days=9), f"K {i}", []) for i in range(110)]
+    df = spark.createDataFrame(refs, "id bigint, stored timestamp, source string, pln array<string>")
+    ld = spark.createDataFrame(lived, "name string, since timestamp, until timestamp, kind int")
+    got = {r.row_id for r in O.orphans(O.references(df, "t", "id", "stored", "source"), O.targets(ld, "source", "name", "since", "until")).collect()}
+    assert got == {i for i in range(900) if (2 * i + 1) % 6 >= 3} | set(range(1000, 1010))
+    assert tables["reference-codes"].groupBy("key").count().agg({"count": "max"}).first()[0] <= 9
