@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from atomloom.session import written
 
 CAPACITY = 2048
-#: Ranks within one size are made in so many parts, since one size can hold any share of the items.
-RANK_PARTS = 16
+#: Ranks within one size are made in parts of about so many items, since one size can hold any share of them.
+PART_ITEMS = 200_000
 
 
 def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, int, int]], int]:
@@ -112,22 +112,26 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[tuple[int, int,
     return steps, containers
 
 
-def assign(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, parts: int = RANK_PARTS) -> DataFrame:
+def assign(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capacity: int = CAPACITY, part_items: int = PART_ITEMS) -> DataFrame:
     """(key, piece_no int, size int, container_id bigint): every item in a container, no container over its capacity.
 
     An item larger than the capacity is cut into pieces of the capacity and a last one (piece_no from 0); no other is
     cut. Null sizes count as 0; negative ones are an error. Ties are broken by key, equal keys arbitrarily but each is
-    placed. An empty table gives an empty result. sizes is read twice: pass a written table.
+    placed. An empty table gives an empty result. sizes is read three times: pass a written table.
 
-    The driver gets the histogram, at most (capacity + 1) x parts rows; the plan laid out on the executors has at
-    most a few rows for each pair of a size and a gap, so it is bounded by the capacity, not by the number of items.
+    The driver gets the histogram, capacity + 1 rows and one for every part_items items; the plan laid out on the
+    executors has at most a few rows for each pair of a size and a gap, so it is bounded by the capacity, not by the
+    number of items. No task ranks more than some part_items items, however many have one size.
     """
     n = F.coalesce(F.col(size).cast("bigint"), F.lit(0))
     whole = F.assert_true(n >= 0, F.lit("sizes cannot be negative"))
     cut = F.when(n <= capacity, F.array(n)).otherwise(
         F.concat(F.array_repeat(F.lit(capacity).cast("bigint"), (n / capacity).cast("int")), F.when(n % capacity > 0, F.array(n % capacity)).otherwise(F.array().cast("array<bigint>")))
     )
-    items = sizes.where(whole.isNull()).select(F.col(key).alias("key"), F.posexplode(cut).alias("piece_no", "size")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    items = sizes.where(whole.isNull()).select(F.col(key).alias("key"), F.posexplode(cut).alias("piece_no", "size"))
+    many = {r.size: 1 + r.n // part_items for r in items.groupBy("size").agg(F.count("*").alias("n")).where(F.col("n") >= part_items).collect()}
+    of_size = F.coalesce(F.create_map(*(F.lit(x) for kv in many.items() for x in kv))[F.col("size")], F.lit(1)) if many else F.lit(1)
+    items = items.withColumn("part", F.pmod(F.xxhash64("key", "piece_no"), of_size).cast("int"))
     counts: dict[tuple[int, int], int] = {(r.size, r.part): r.n for r in items.groupBy("size", "part").agg(F.count("*").alias("n")).collect()}
     histogram: dict[int, int] = defaultdict(int)
     start: dict[tuple[int, int], int] = {}
@@ -141,14 +145,16 @@ def assign(sizes: DataFrame, key: str = "doc_id", size: str = "n_tokens", capaci
         total += histogram.get(s, 0)
     rows = sorted((base[s] + r, f, e) for s, r, f, e in steps)
     at, first, each = (np.array(x, np.int64) for x in (zip(*rows) if rows else ((), (), ())))
-    starts = np.zeros((capacity + 1, parts), np.int64)
+    first_part = np.zeros(capacity + 2, np.int64)  # parts laid one after another too
+    np.cumsum([many.get(s, 1) for s in range(capacity + 1)], out=first_part[1:])
+    starts = np.zeros(first_part[-1], np.int64)
     for (s, part), r in start.items():
-        starts[s, part] = base[s] + r
+        starts[first_part[s] + part] = base[s] + r
 
     def run(batches):
         for batch in batches:
             s, part, row = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4))
-            rank = starts[s, part] + row - 1
+            rank = starts[first_part[s] + part] + row - 1
             i = np.searchsorted(at, rank, "right") - 1
             box = first[i] + (rank - at[i]) // each[i]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s.astype(np.int32)), pa.array(box)], names=[key, "piece_no", "size", "container_id"])

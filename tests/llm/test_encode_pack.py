@@ -75,9 +75,10 @@ def test_plan_fills(seed):
     assert boxes <= max(big, -(-total // cap)) * 1.25 + 2
 
 
-def test_assign(spark):
+@pytest.mark.parametrize("part_items", [10**6, 20])
+def test_assign(spark, part_items):
     rows = [(i, n) for i, n in enumerate([0] * 300 + [7] * 200 + [60, 41, 40, 100, 101, 250, 300, 33, 34, 1])] + [(9999, None)]
-    got = pack.assign(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint"), capacity=100).collect()
+    got = pack.assign(spark.createDataFrame(rows, "doc_id bigint, n_tokens bigint"), capacity=100, part_items=part_items).collect()
     load, pieces = {}, {}
     for r in got:
         load[r.container_id] = load.get(r.container_id, 0) + r.size
@@ -86,3 +87,17 @@ def test_assign(spark):
     assert {k: sum(v) for k, v in pieces.items()} == {k: v or 0 for k, v in rows}
     assert sorted(pieces[505]) == [50, 100, 100] and len(pieces[506]) == 3 and len(pieces[503]) == 1
     assert pack.assign(spark.createDataFrame([], "doc_id bigint, n_tokens bigint")).collect() == []
+
+
+def test_hot_size_is_ranked_in_parts(spark):
+    """Nine tenths of the items have one size: no part of it holds many more than part_items."""
+    df = spark.createDataFrame([(i, 5 if i % 10 else 60) for i in range(4000)], "doc_id bigint, n_tokens bigint")
+    got = pack.assign(df, capacity=100, part_items=300)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "part#" in plan and got.count() == 4000
+    many = {r["n"] for r in df.selectExpr("n_tokens", "pmod(xxhash64(doc_id, 0), 13) p").groupBy("n_tokens", "p").count().withColumnRenamed("count", "n").collect()}
+    assert max(many) < 450
+    load = {}
+    for r in got.collect():
+        load[r.container_id] = load.get(r.container_id, 0) + r.size
+    assert max(load.values()) <= 100 and sum(load.values()) >= 0.99 * 100 * len(load)
