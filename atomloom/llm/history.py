@@ -1,33 +1,45 @@
-"""Problem 6: new batches against all history, by the rarest words of each record.
-
-A posting leads from an occurrence of a word to records; records that share one among their rarest are compared by
-what they have in common, counted over all words. If two records have four fifths of all words in common, these are at
-least a = ceil(4/9 (m + n)) of their m and n, so in any order that is the same for all records they share one of the
-first m - a + 1 and n - a + 1 of each: no pair is lost, whatever was edited where. How rare a word is comes from a
-table of counters over all records, of a fixed size; it decides the work only. Chunks of several words have no such
-bound, since an edit breaks all chunks it touches.
+"""Problem 6: new batches against all history, by a persistent table from words to records.
+
+A posting leads from an occurrence of a word to sets of words; sets that share one among their rarest are compared by
+what they have in common, counted over all words. If two sets have four fifths of all words in common, these are at
+least a = ceil(4/9 (m + n)) of their m and n, so in any order that is the same for all sets they share one of the
+first m - a + 1 and n - a + 1 of each: no pair is lost, whatever was edited where. How rare a word is comes from
+counters over the history; it decides the work only. Chunks of several words have no such bound, since an edit breaks
+all chunks it touches.
+
+Index keeps postings, sets and records in a folder and takes one batch after another; `pairs` runs a table through it.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomloom.llm import chunks as C
-from atomloom.session import written
+from atomloom.session import scratch, temporary, written
 
-COUNTERS = 1 << 20
+#: Counters: one for each so many occurrences of words in the history, within these limits.
+WORDS_EACH, LEAST_COUNTERS, MOST_COUNTERS = 4, 1 << 16, 1 << 23
 MERGES = 8
-#: Words sets looked up by broadcast; more of them are joined by shuffle.
+#: Rows of a table of the new batch that are sent to all executors; more are joined by shuffle.
 BROADCAST_ROWS = 500_000
+#: Postings a bucket should get: their number follows the history, so what a small batch reads of it doesn't grow.
+BUCKET_ROWS = 1 << 18
+#: The history is counted and laid into buckets anew when it has grown by this factor.
+RENEWED_AT = 2
 #: Common words against all words of both, as a fraction: 4/5.
 NUMERATOR, DENOMINATOR = 4, 5
 SIGNATURE = "rec_table string, id bigint, batch_no int, root_a bigint, root_b bigint, bag bigint, words int, occurrences array<bigint>"
+#: Tables of the index. members has two rows for a record: by its words (is_bag) and by its plain forms, with the hash of the other in `other`.
+TABLES = {"postings": "key bigint, bag bigint, words int, reach int", "sets": "bag bigint, words int, occurrences array<bigint>", "members": "k bigint, l bigint, is_bag boolean, other bigint, rec_table string, id bigint, batch_no int"}
+BUCKETED_BY = {"postings": "key", "sets": "bag", "members": "k"}
 
 
 def _seeds(tables: list[str]) -> np.ndarray:
@@ -36,12 +48,12 @@ def _seeds(tables: list[str]) -> np.ndarray:
     return np.array([known[t] for t in tables], np.uint64)
 
 
-def signatures(recs: DataFrame, with_elements: bool = False) -> DataFrame:
+def signatures(recs: DataFrame) -> DataFrame:
     """One row of SIGNATURE for each record with at least one statement; recs is (rec_table, id, batch_no, items).
 
     root_a and root_b are the digest of the sorted plain forms, bag that of the words as often as they occur,
-    occurrences the hash of each occurrence of a word; with_elements adds elements array<int>, one hash for each occurrence of a word. A record
-    of punctuation only has no words. A null name of the table is an error.
+    occurrences the hash of each occurrence of a word. A record of punctuation only has no words. A null name of the
+    table is an error.
     """
 
     def run(batches):
@@ -51,194 +63,231 @@ def signatures(recs: DataFrame, with_elements: bool = False) -> DataFrame:
             seed = _seeds(batch.column(0).to_pylist())
             root = np.frombuffer(b"".join(b.root), np.uint64).reshape(-1, 2)
             columns = [batch.column(0), batch.column(1), batch.column(2), *(pa.array((x ^ seed).view(np.int64)) for x in (root[:, 0], root[:, 1], b.bag)), pa.array(b.words.astype(np.int32)), C.lists(b.element ^ seed[b.element_of], b.element_of, n)]
-            names = ["rec_table", "id", "batch_no", "root_a", "root_b", "bag", "words", "occurrences"]
-            if with_elements:
-                columns.append(C.lists(elements32(b), b.element_of, n))
-                names.append("elements")
-            yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(b.has))
-
-    return recs.select("rec_table", F.col("id").cast("bigint"), F.col("batch_no").cast("int"), "items").mapInArrow(run, SIGNATURE + ", elements array<int>" * with_elements)
+            yield pa.RecordBatch.from_arrays(columns, names=["rec_table", "id", "batch_no", "root_a", "root_b", "bag", "words", "occurrences"]).filter(pa.array(b.has))
 
+    return recs.select("rec_table", F.col("id").cast("bigint"), F.col("batch_no").cast("int"), "items").mapInArrow(run, SIGNATURE)
 
-def elements32(b: C.Batch) -> np.ndarray:
-    return (b.element >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
-
-def counters(signed: DataFrame) -> np.ndarray:
-    """How often the occurrences of words of each counter occur, over all records: partial sums in the tasks, MERGES of them to the driver."""
+def counters(sets: DataFrame, cells: int) -> np.ndarray:
+    """How often the occurrences of words of each counter occur, over all sets: partial sums in the tasks, MERGES of them to the driver."""
 
     def count(batches):
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(cells, np.int32)
         for batch in batches:
-            total += np.bincount(batch.column(0).flatten().to_numpy().view(np.uint64) & np.uint64(COUNTERS - 1), minlength=COUNTERS)
+            total += np.bincount(batch.column(0).flatten().to_numpy().view(np.uint64) & np.uint64(cells - 1), minlength=cells).astype(np.int32)
         if total.any():
             code = zlib.compress(total.tobytes(), 1)
             yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(code) % MERGES], pa.int32()), pa.array([code], pa.binary())], names=["part", "sums"])
 
     def merge(table: pa.Table) -> pa.Table:
-        total = np.zeros(COUNTERS, np.int64)
+        total = np.zeros(cells, np.int64)
         for code in table["sums"]:
-            total += np.frombuffer(zlib.decompress(code.as_py()), np.int64)
-        return pa.table({"sums": [zlib.compress(total.tobytes(), 1)]}, schema=pa.schema([("sums", pa.binary())]))
+            total += np.frombuffer(zlib.decompress(code.as_py()), np.int32)
+        return pa.table({"sums": [zlib.compress(np.minimum(total, 2**31 - 1).astype(np.int32).tobytes(), 1)]}, schema=pa.schema([("sums", pa.binary())]))
 
-    parts = signed.select("occurrences").mapInArrow(count, "part int, sums binary").groupBy("part").applyInArrow(merge, "sums binary").collect()
-    return sum((np.frombuffer(zlib.decompress(r.sums), np.int64) for r in parts), np.zeros(COUNTERS, np.int64))
+    parts = sets.select("occurrences").mapInArrow(count, "part int, sums binary").groupBy("part").applyInArrow(merge, "sums binary").collect()
+    total = sum((np.frombuffer(zlib.decompress(r.sums), np.int32).astype(np.int64) for r in parts), np.zeros(cells, np.int64))
+    return np.minimum(total, 2**31 - 1).astype(np.int32)
 
 
-def lookups(signed: DataFrame, counts: np.ndarray | None) -> DataFrame:
-    """(key, bag, low, high, words, reach): the rarest words of each set of words, or all of them without counts.
+def lookups(sets: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(key, bag, words, reach): the rarest words of each set.
 
-    The order by count, then hash, is the same for all records. reach is the greatest number of words of a set that
-    can still be a near-copy if this is the first word both share; words without a reach to any are left out. low and
-    high are the least and greatest batch_no of the records with these words, combined within each Arrow batch
-    already, so copies of one record are few rows before they are shuffled.
+    The order by count, then hash, is the same for all sets. reach is the greatest number of words of a set that can
+    still be a near-copy if this is the first word both share; words without a reach to any are left out.
     """
-    shared = signed.sparkSession.sparkContext.broadcast(None if counts is None else np.minimum(counts, 2**31 - 1).astype(np.int32))
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
     both = NUMERATOR + DENOMINATOR
 
     def run(batches):
         counts = shared.value
         for batch in batches:
-            number, bag, words = (batch.column(i).to_numpy() for i in (0, 1, 2))
-            order = np.lexsort((number, bag))
-            new = np.ones(len(order), bool)
-            new[1:] = bag[order[1:]] != bag[order[:-1]]
-            first = np.flatnonzero(new)
-            low, high = number[order[first]], number[order[np.r_[first[1:], len(order)] - 1 if len(order) else first]]
-            one = batch.column(3).take(pa.array(order[first]))
-            bag, words = bag[order[first]], words[order[first]].astype(np.int64)
+            bag, words, one = batch.column(0).to_numpy(), batch.column(1).to_numpy().astype(np.int64), batch.column(2)
             at = np.repeat(np.arange(len(one)), np.diff(one.offsets.to_numpy()))
             key = one.flatten().to_numpy()
-            n = words[at]
-            if counts is None:
-                reach = n * DENOMINATOR // NUMERATOR
-            else:
-                order = np.lexsort((key, counts[key.view(np.uint64) & np.uint64(COUNTERS - 1)], at))
-                at, key = at[order], key[order]  # at stays as it is: it leads the order
-                many = np.bincount(at, minlength=len(one))
-                place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
-                # place <= n - a, where a = ceil(4/9 (m + n)) for a set of m words
-                reach = (both * (n - place) - NUMERATOR * n) // NUMERATOR
-                keep = DENOMINATOR * reach >= NUMERATOR * n
-                at, key, n, reach = at[keep], key[keep], n[keep], reach[keep]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, bag[at], low[at], high[at], n.astype(np.int32), reach.astype(np.int32))], names=["key", "bag", "low", "high", "words", "reach"])
+            order = np.lexsort((key, counts[key.view(np.uint64) & np.uint64(len(counts) - 1)], at))
+            key, n = key[order], words[at]  # at stays as it is: it leads the order
+            many = np.bincount(at, minlength=len(one))
+            place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            # place <= n - a, where a = ceil(4/9 (m + n)) for a set of m words
+            reach = (both * (n - place) - NUMERATOR * n) // NUMERATOR
+            keep = DENOMINATOR * reach >= NUMERATOR * n
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[keep], bag[at[keep]], n[keep].astype(np.int32), reach[keep].astype(np.int32))], names=["key", "bag", "words", "reach"])
 
-    return signed.where("words > 0").select("batch_no", "bag", "words", "occurrences").mapInArrow(run, "key bigint, bag bigint, low int, high int, words int, reach int")
+    return sets.select("bag", "words", "occurrences").mapInArrow(run, TABLES["postings"])
 
 
-def classes(postings: DataFrame) -> DataFrame:
-    """One row for each key and set of words; laid by key, so the join by key needs no further shuffle."""
-    n = max(1, int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return postings.repartition(n, "key").groupBy("key", "bag").agg(F.min("low").alias("low"), F.max("high").alias("high"), F.max("words").alias("words"), F.max("reach").alias("reach"))
+def laid(df: DataFrame) -> DataFrame:
+    """A written table, sent to all executors if it has at most BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
 
 
-def sharing(old: DataFrame, new: DataFrame, ordered: bool) -> DataFrame:
-    """(bag_a, bag_b) of those that share a key, are in different batches and within reach of each other.
+def pairs(recs: DataFrame) -> DataFrame:
+    """(rec_table, id_a, id_b): all pairs of records of one table in different batches that are copies or near-copies.
 
-    ordered: both are all postings, each pair is made once, from the set with fewer words; of that one only few
-    postings reach a set as large as itself.
+    recs is (rec_table, id, batch_no, items); id_a is the one in the earlier batch. Batches are taken one after
+    another, the least batch_no first, each through Index against all before it. Copies are records with the same
+    plain forms in any order; near-copies have at least 4/5 of all words in common. Rows with a null id or batch_no or
+    without a statement have no pairs; ids are unique within a table. A group of c copies has as many pairs as the
+    batches make of it: this follows from the required result; its join is split by AQE where one group is large.
     """
-    a, b = old.alias("a"), new.alias("b")
-    if ordered:
-        a = old.where("reach >= words").alias("a")
-    cond = (F.col("a.key") == F.col("b.key")) & (F.col("b.words") <= F.col("a.reach")) & (F.col("a.words") <= F.col("b.reach"))
-    if ordered:
-        cond &= (F.col("a.words") < F.col("b.words")) | ((F.col("a.words") == F.col("b.words")) & (F.col("a.bag") < F.col("b.bag")))
-        cond &= (F.col("a.low") < F.col("b.high")) | (F.col("b.low") < F.col("a.high"))
-    else:
-        cond &= (F.col("a.bag") != F.col("b.bag")) & (F.col("a.low") < F.col("b.high"))
-    return a.join(b, cond).select(F.col("a.bag").alias("bag_a"), F.col("b.bag").alias("bag_b")).distinct()
-
-
-def laid(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A written table, sent to all executors if it has at most so many rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    spark, path = recs.sparkSession, scratch(recs.sparkSession, "signatures")
+    signatures(recs.where("id is not null and batch_no is not null")).write.option("compression", "zstd").partitionBy("batch_no").parquet(path)
+    signed, index = spark.read.schema(SIGNATURE).parquet(path), Index(spark, scratch(spark, "history"))
+    found = [index.take(signed.where(F.col("batch_no") == r.batch_no), f"batch{r.batch_no}") for r in signed.select("batch_no").distinct().orderBy("batch_no").collect()]
+    out = found[0] if found else spark.createDataFrame([], "rec_table string, id_a bigint, id_b bigint")
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
-def elements(recs: DataFrame, signed: DataFrame, bags: DataFrame) -> DataFrame:
-    """(bag, words, elements) of the given sets of words, made anew from one record of each."""
-    one = written(signed.join(bags, "bag").groupBy("bag").agg(F.min(F.struct("rec_table", "id")).alias("r")).select("bag", "r.rec_table", "r.id"), "bag-records")
-
-    def run(batches):
-        for batch in batches:
-            b = C.Batch(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(b.words.astype(np.int32)), C.lists(elements32(b), b.element_of, batch.num_rows)], names=["bag", "words", "elements"])
+@dataclass
+class State:
+    """What an index has accepted: names of batches, where they lie, how many words they have and for how many the counters are."""
 
-    return recs.select("rec_table", F.col("id").cast("bigint").alias("id"), "items").join(laid(one), ["rec_table", "id"]).select("bag", "items").mapInArrow(run, "bag bigint, words int, elements array<int>")
-
-
-def verified(pairs: DataFrame, old: DataFrame, new: DataFrame) -> DataFrame:
-    """(bag_a, bag_b) of the pairs whose words are common to four fifths; old and new have (bag, words, elements)."""
-    a, b = (x.select(F.col("bag").alias(f"bag_{s}"), F.col("words").alias(f"words_{s}"), F.col("elements").alias(f"elements_{s}")) for s, x in (("a", old), ("b", new)))
-    both = F.size(F.array_intersect("elements_a", "elements_b"))
-    return pairs.join(a, "bag_a").join(b, "bag_b").where(DENOMINATOR * both >= NUMERATOR * (F.col("words_a") + F.col("words_b") - both)).select("bag_a", "bag_b")
-
-
-def pairs(recs: DataFrame) -> DataFrame:
-    """(rec_table, id_a, id_b): all pairs of records of one table in different batches that are copies or near-copies.
-
-    recs is (rec_table, id, batch_no, items); id_a is the one in the earlier batch. The result is what one gets from
-    taking the batches one after another through Index, in one plan. Copies are records with the same plain forms in
-    any order; near-copies have at least 4/5 of all words in common. Rows with a null id or batch_no or without a
-    statement have no pairs. A group of c copies has as many pairs as the batches make of it: this follows from the
-    required result; its join is split by AQE where one group is large.
-    """
-    recs = recs.where("id is not null and batch_no is not null")
-    signed = written(signatures(recs), "signatures")
-    post = classes(lookups(signed, counters(signed)))
-    near = written(sharing(post, post, True), "near-pairs")
-    bags = written(near.select(F.explode(F.array("bag_a", "bag_b")).alias("bag")).distinct(), "bags")
-    words = written(elements(recs, signed, laid(bags)), "elements")
-    return _members(written(verified(near, words, words), "near"), signed, signed, both_ways=True)
-
-
-def _members(near: DataFrame, old: DataFrame, new: DataFrame, both_ways: bool) -> DataFrame:
-    """Near pairs of sets of words, equal ones and equal roots as pairs of records, the earlier batch first."""
-    a = old.select("rec_table", F.col("bag").alias("bag_a"), F.col("id").alias("id_a"), F.col("batch_no").alias("batch_a"))
-    b = new.select(F.col("bag").alias("bag_b"), F.col("id").alias("id_b"), F.col("batch_no").alias("batch_b"))
-    earlier = F.col("batch_a") < F.col("batch_b")
-    small = laid(near)
-    left = small.join(a, "bag_a")
-    left = laid(written(left, "near-left")) if both_ways else left
-    across = left.join(b, "bag_b").where(F.col("batch_a") != F.col("batch_b") if both_ways else earlier)
-    across = across.select("rec_table", F.when(earlier, F.col("id_a")).otherwise(F.col("id_b")).alias("id_a"), F.when(earlier, F.col("id_b")).otherwise(F.col("id_a")).alias("id_b"))
-    keys = F.explode(F.array(F.struct(F.col("root_a").alias("k"), F.col("root_b").alias("l")), F.struct(F.col("bag").alias("k"), F.when(F.col("words") > 0, -F.col("words").cast("bigint")).alias("l")))).alias("key")
-    a = old.select("rec_table", F.col("id").alias("id_a"), F.col("batch_no").alias("batch_a"), keys).select("rec_table", "key.k", "key.l", "id_a", "batch_a")
-    b = new.select(F.col("id").alias("id_b"), F.col("batch_no").alias("batch_b"), keys).select("key.k", "key.l", "id_b", "batch_b")
-    same = a.join(b, ["k", "l"]).where(earlier).select("rec_table", "id_a", "id_b")
-    return across.unionByName(same).distinct()
+    generation: int = 0
+    buckets: int = 1
+    words: int = 0
+    counted: int = 0
+    commits: list[str] = field(default_factory=list)
+    names: list[str] = field(default_factory=list)
 
 
 class Index:
-    """A table of postings that is kept in a folder and grows by each accepted batch.
+    """Tables of postings, sets of words and records in a folder that grow by each accepted batch. One writer at a time.
+
+    A batch is looked up by its rarest words; of the history only the buckets are read that its words, and then its
+    candidates, fall into, and nothing of it is made anew. Postings and sets are stored for sets of words that are new,
+    so copies add a row for themselves and no more. All of a batch is written before one file of state makes it part of
+    the history: a batch that broke off leaves nothing behind that is read, and one that was taken before is compared
+    again but not stored twice. Another object over the same folder goes on where the last one ended.
 
-    A batch is looked up by its rarest words in the words of all that was accepted before: these are kept in full, since
-    how rare a word is changes from batch to batch. Of the history only the narrow table of postings and the
-    signatures of records that share a rare word are read, and nothing of it is made anew.
+    The order of the words is fixed by counters of the history as it was; when it has doubled, all is counted and laid
+    into more buckets once, which over time costs as much again as each batch did.
     """
 
-    def __init__(self, spark, folder: str):
-        self.spark, self.folder, self.counts, self.batches = spark, folder.rstrip("/"), np.zeros(COUNTERS, np.int64), 0
-
-    def _table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
-
-    def add(self, recs: DataFrame) -> DataFrame:
-        """Pairs (rec_table, id_a, id_b) of the new records with earlier ones; the batch is accepted after that.
-
-        The numbers in batch_no are taken as they are; a record of the batch is compared with those of lower numbers.
-        """
-        signed = written(signatures(recs.where("id is not null and batch_no is not null"), with_elements=True), "batch-signatures")
-        counts = self.counts + counters(signed)
-        if self.batches:
-            old = self._table("signatures")
-            near = written(sharing(self._table("postings"), lookups(signed, counts), False), "batch-near-pairs")
-            theirs = old.join(laid(written(near.select(F.col("bag_a").alias("bag")).distinct(), "batch-bags")), "bag").dropDuplicates(["bag"])
-            near = written(verified(near, theirs, signed.dropDuplicates(["bag"])), "batch-near")
-            found = written(_members(near, old, signed, both_ways=False), "batch-pairs")
-        else:
-            found = self.spark.createDataFrame([], "rec_table string, id_a bigint, id_b bigint")
-        signed.drop("occurrences").write.mode("append").parquet(f"{self.folder}/signatures")
-        lookups(signed, None).write.mode("append").parquet(f"{self.folder}/postings")
-        self.counts, self.batches = counts, self.batches + 1
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self.state = State(**json.loads(self._newest()[1] or "{}"))
+        self._counts: np.ndarray | None = None
+
+    def add(self, recs: DataFrame, name: str) -> DataFrame:
+        """Pairs (rec_table, id_a, id_b) of the records of a batch with those of lower batch_no in the history; the batch is accepted after that."""
+        with temporary(self.spark, ("batch-pairs",)):
+            return self.take(written(signatures(recs.where("id is not null and batch_no is not null")), "batch-signatures"), name)
+
+    def take(self, signed: DataFrame, name: str) -> DataFrame:
+        """As add(), for rows of SIGNATURE."""
+        if self.state.commits and self.state.words > RENEWED_AT * self.state.counted:
+            self._renew()
+        with temporary(self.spark, ("batch-pairs",)):
+            sets = written(signed.where("words > 0").groupBy("bag").agg(F.first("words").alias("words"), F.first("occurrences").alias("occurrences")), "batch-sets")
+            rows, words = sets.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
+            if not self.state.commits:
+                self._count(sets, words)
+            look = written(lookups(sets, self._counters()), "batch-postings")
+            both = F.array(F.struct(F.col("bag").alias("k"), F.lit(0).cast("bigint").alias("l"), F.lit(True).alias("is_bag"), F.col("root_a").alias("other")), F.struct(F.col("root_a").alias("k"), F.col("root_b").alias("l"), F.lit(False).alias("is_bag"), F.when(F.col("words") > 0, F.col("bag")).alias("other")))
+            mine = signed.select("rec_table", "id", "batch_no", F.explode(F.when(F.col("words") > 0, both).otherwise(F.slice(both, 2, 1))).alias("m")).select("m.*", "rec_table", "id", "batch_no")
+            known = None
+            if self.state.commits:
+                found = written(self._compared(look, sets, rows, mine), "batch-pairs")
+                known = self._read("sets", laid(sets.select("bag")), "bag", rows).select("bag")
+            else:
+                found = self.spark.createDataFrame([], "rec_table string, id_a bigint, id_b bigint")
+            if name not in self.state.names:
+                self._accept(name, words, look, sets, mine, known)
         return found
+
+    def _compared(self, look: DataFrame, sets: DataFrame, rows: int, mine: DataFrame) -> DataFrame:
+        """Pairs of records of the batch with earlier ones: by equal words, by equal plain forms, by words nearly all of which are common."""
+        a, b = self._read("postings", None, "key", look.count() if self.state.buckets > 1 else 0, look).alias("a"), laid(look).alias("b")
+        meet = (F.col("a.key") == F.col("b.key")) & (F.col("b.words") <= F.col("a.reach")) & (F.col("a.words") <= F.col("b.reach")) & (F.col("a.bag") != F.col("b.bag"))
+        near = laid(written(a.join(b, meet).select(F.col("a.bag").alias("bag"), F.col("b.bag").alias("bag_b")).distinct(), "batch-near"))
+        old = self._read("sets", near, "bag", rows).select("bag", "bag_b", F.col("words").alias("m"), F.col("occurrences").alias("theirs"))
+        shared = F.size(F.array_intersect("theirs", "occurrences"))
+        near = old.join(sets.withColumnRenamed("bag", "bag_b"), "bag_b").where(DENOMINATOR * shared >= NUMERATOR * (F.col("m") + F.col("words") - shared)).select("bag", "bag_b")
+        near = laid(written(near, "batch-nearly"))
+        own = mine.select("k", "l", "is_bag", F.lit(False).alias("near"), "other", F.col("id").alias("id_b"), F.col("batch_no").alias("batch_b"))
+        others = near.join(mine.where("is_bag").withColumnRenamed("k", "bag_b"), "bag_b").select(F.col("bag").alias("k"), "l", "is_bag", F.lit(True).alias("near"), "other", F.col("id").alias("id_b"), F.col("batch_no").alias("batch_b"))
+        asked = laid(written(own.unionByName(others).withColumnRenamed("other", "own"), "batch-asked"))
+        # each pair once: equal words whatever else, equal plain forms of other words, nearly equal words of other plain forms
+        met = self._read("members", asked, ["k", "l", "is_bag"], 2 * rows).where("batch_no < batch_b").where(F.expr("(is_bag and not near) or coalesce(other <> own, true)"))
+        return met.select("rec_table", F.col("id").alias("id_a"), "id_b")
+
+    def _accept(self, name: str, words: int, look: DataFrame, sets: DataFrame, mine: DataFrame, known: DataFrame | None) -> None:
+        if known is not None:
+            known = laid(written(known, "batch-known"))
+            look, sets = look.join(known, "bag", "left_anti"), sets.join(known, "bag", "left_anti")
+        place = f"{len(self.state.names)}-{xxhash.xxh3_64_hexdigest(name)}"
+        self._lay({"postings": look, "sets": sets, "members": mine}, place)
+        self._commit(State(**asdict(self.state) | {"words": self.state.words + words, "commits": [*self.state.commits, place], "names": [*self.state.names, name]}))
+
+    def _lay(self, tables: dict[str, DataFrame], place: str) -> None:
+        for table, df in tables.items():
+            bucket = F.pmod(F.col(BUCKETED_BY[table]), F.lit(self.state.buckets)).cast("int")
+            df.withColumn("bucket", bucket).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self._root()}/{table}/place={place}")
+
+    def _read(self, table: str, asked: DataFrame | None, on, rows: int, by: DataFrame | None = None) -> DataFrame:
+        """A table of the history joined with what is asked of it; only the buckets that fall under that are read, where the batch is small enough to leave some out."""
+        root, b = f"{self._root()}/{table}", self.state.buckets
+        df = self.spark.read.schema(TABLES[table] + ", bucket int").option("basePath", root).parquet(*(f"{root}/place={c}" for c in self.state.commits))
+        by = asked if by is None else by
+        if by is not None and rows < 8 * b > 8:
+            touched = by.select(F.pmod(F.col(BUCKETED_BY[table]), F.lit(b)).cast("int").alias("bucket")).distinct()
+            df = df.where(F.col("bucket").isin([r.bucket for r in touched.collect()]))
+        df = df.drop("bucket", "place")
+        return df if asked is None else df.join(asked, on)
+
+    def _root(self) -> str:
+        return f"{self.folder}/generation{self.state.generation}"
+
+    def _count(self, sets: DataFrame, words: int) -> None:
+        """Counters of the sets, kept in the folder, and the buckets that so many words need. Two postings in nine words, and some more, is what the rarest make."""
+        cells = 1 << int(np.clip(np.ceil(np.log2(max(1, words // WORDS_EACH))), np.log2(LEAST_COUNTERS), np.log2(MOST_COUNTERS)))
+        self.state.buckets = 1 << max(0, int(np.ceil(np.log2(max(1, words * 2 / 9 / BUCKET_ROWS)))))
+        self.state.counted, self._counts = max(1, words), counters(sets, cells)
+        self.spark.createDataFrame([(zlib.compress(self._counts.tobytes(), 1),)], "counts binary").coalesce(1).write.mode("overwrite").parquet(f"{self._root()}/counters")
+
+    def _counters(self) -> np.ndarray:
+        if self._counts is None:
+            self._counts = np.frombuffer(zlib.decompress(self.spark.read.parquet(f"{self._root()}/counters").first().counts), np.int32)
+        return self._counts
+
+    def _renew(self) -> None:
+        """Counts the history and lays it into the buckets it needs by now, as one commit of a new generation."""
+        sets, members, old = self._read("sets", None, "bag", 0), self._read("members", None, "k", 0), self.state
+        words = sets.agg(F.sum("words")).first()[0]
+        self.state = State(**asdict(old) | {"generation": old.generation + 1, "words": words, "commits": ["all"]})
+        self._count(sets, words)
+        self._lay({"postings": lookups(sets, self._counts), "sets": sets, "members": members}, "all")
+        gone = f"{self.folder}/generation{old.generation}"
+        self._commit(self.state)
+        fs, p = self._hadoop(gone)
+        fs.delete(p, True)
+
+    def _hadoop(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _newest(self) -> tuple[int, str | None]:
+        """Number and content of the newest file of state."""
+        fs, p = self._hadoop(f"{self.folder}/state")
+        numbers = [int(f.getPath().getName()) for f in fs.listStatus(p) if f.getPath().getName().isdigit()] if fs.exists(p) else []
+        if not numbers:
+            return 0, None
+        stream = fs.open(self._hadoop(f"{self.folder}/state/{max(numbers)}")[1])
+        try:
+            return max(numbers), self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        finally:
+            stream.close()
+
+    def _commit(self, state: State) -> None:
+        """A file of state under a name of its own, then renamed to its number: there as a whole or not at all."""
+        number = self._newest()[0] + 1
+        fs, p = self._hadoop(f"{self.folder}/state/writing-{number}")
+        out = fs.create(p, True)
+        out.write(bytearray(json.dumps(asdict(state)).encode()))
+        out.close()
+        if not fs.rename(p, self._hadoop(f"{self.folder}/state/{number}")[1]):
+            raise RuntimeError(f"another writer has changed {self.folder}")
+        self.state = state

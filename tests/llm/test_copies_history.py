@@ -69,13 +69,55 @@ def test_against_brute_force(spark, seed):
     assert got <= near and len(got) >= 0.995 * len(near) and len(near) > 100
 
 
-def test_batches_one_after_another(spark, tmp_path):
+def test_batches_one_after_another(spark, tmp_path, monkeypatch):
+    """Each batch through an index of its own object over one folder, with renewals, small buckets and a batch that comes twice."""
+    monkeypatch.setattr(history, "RENEWED_AT", 1.2)
+    monkeypatch.setattr(history, "BUCKET_ROWS", 16)
     rows = made(3, 150)
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("'t' rec_table", "id", "batch_no", "items")
-    index, got = history.Index(spark, str(tmp_path)), set()
-    for b in range(1, 6):
-        got |= {(r.id_a, r.id_b) for r in index.add(df.where(f"batch_no = {b}")).collect()}
-    assert got == truth(rows)[0]
+    got, generations = set(), set()
+    for b in (1, 2, 3, 3, 4, 5):
+        index = history.Index(spark, str(tmp_path))
+        mine = {(r.id_a, r.id_b) for r in index.add(df.where(f"batch_no = {b}"), f"b{b}").collect()}
+        assert b != 3 or not (got & mine) or mine <= got
+        got |= mine
+        generations.add(index.state.generation)
+    assert got == truth(rows)[0] and len(generations) > 1
+    assert history.Index(spark, str(tmp_path))._read("members", None, "k", 0).where("is_bag").count() == sum(bool(words([s for s in i or [] if s])) for _, _, i, *_ in rows)
+
+
+def test_a_batch_that_broke_off_is_not_there(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([("t", i, 1 + i // 2, ["(: a (Has b c) (STV 1 1))"]) for i in range(6)], "rec_table string, id bigint, batch_no int, items array<string>")
+    history.Index(spark, str(tmp_path)).add(df.where("batch_no = 1"), "1")
+    with monkeypatch.context() as m:
+        m.setattr(history.Index, "_commit", lambda *a: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            history.Index(spark, str(tmp_path)).add(df.where("batch_no = 2"), "2")
+    got = {(r.id_a, r.id_b) for r in history.Index(spark, str(tmp_path)).add(df.where("batch_no = 3"), "3").collect()}
+    assert got == {(0, 4), (0, 5), (1, 4), (1, 5)}
+    got = {(r.id_a, r.id_b) for r in history.Index(spark, str(tmp_path)).add(df.where("batch_no = 2"), "2").collect()}
+    assert got == {(0, 2), (0, 3), (1, 2), (1, 3)}
+
+
+def test_rows_read_of_the_history_do_not_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(history, "BUCKET_ROWS", 32)
+    read = {}
+    for n in (400, 3200):
+        old = spark.createDataFrame([("t", i, 1, [f"(: f{i} (Has thing{i} part{i} in the house) (STV 1 0.{i}))"]) for i in range(n)], "rec_table string, id bigint, batch_no int, items array<string>")
+        new = spark.createDataFrame([("t", n + 1, 2, ["(: f7 (Has thing7 part7 in the house) (STV 1 0.8))"])], old.schema)
+        index = history.Index(spark, f"{tmp_path}/{n}")
+        index.add(old, "1")
+        seen, scan = [], history.Index._read
+
+        def counted(self, table, asked, on, rows, by=None):
+            seen.append(scan(self, table, None, on, rows, by if by is not None else asked).count())
+            return scan(self, table, asked, on, rows, by)
+
+        with monkeypatch.context() as m:
+            m.setattr(history.Index, "_read", counted)
+            assert [(r.id_a, r.id_b) for r in index.add(new, "2").collect()] == [(7, n + 1)]
+        read[n] = sum(seen)
+    assert read[3200] < 2 * read[400] < 2 * 4 * 400
 
 
 def test_equal_digests_are_compared_in_full(spark, monkeypatch):
@@ -130,4 +172,4 @@ def test_edits_anywhere(spark, tmp_path, n):
     assert {(r.id_a, r.id_b) for r in history.pairs(df).collect()} == near
     if n == 36:
         index = history.Index(spark, str(tmp_path))
-        assert [{(r.id_a, r.id_b) for r in index.add(df.where(f"batch_no = {b}")).collect()} for b in (1, 2)] == [set(), near]
+        assert [{(r.id_a, r.id_b) for r in index.add(df.where(f"batch_no = {b}"), str(b)).collect()} for b in (1, 2)] == [set(), near]
