@@ -10,7 +10,10 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Compressed size of a table that is sent to all executors, who hold a few times as much.
+BROADCAST_BYTES = 8 << 20
 _made: list[str] = []
 _written: list[str] = []
 
@@ -89,6 +92,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def laid(df: DataFrame, label: str, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """A written table, sent to all executors in joins if its files have at most so many bytes; their size is read from the folder, without a job."""
+    path = scratch(df.sparkSession, label)
+    df.write.option("compression", "zstd").parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    p = df.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).getContentSummary(p).getLength()
+    return F.broadcast(out) if size <= most_bytes else out
+
+
 @contextmanager
 def temporary(spark: SparkSession, keep: tuple[str, ...] = ()) -> Iterator[None]:
     """Tables written within are deleted at the end, as soon as they are consumed, but for those with a label in keep."""
