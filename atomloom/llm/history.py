@@ -23,13 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomloom.llm import chunks as C
-from atomloom.session import scratch, temporary, written
+from atomloom.session import laid, scratch, temporary, written
 
 #: Counters: one for each so many occurrences of words in the history, within these limits.
 WORDS_EACH, LEAST_COUNTERS, MOST_COUNTERS = 4, 1 << 16, 1 << 23
 MERGES = 8
-#: Rows of a table of the new batch that are sent to all executors; more are joined by shuffle.
-BROADCAST_ROWS = 500_000
 #: Postings a bucket should get: their number follows the history, so what a small batch reads of it doesn't grow.
 BUCKET_ROWS = 1 << 18
 #: The history is counted and laid into buckets anew when it has grown by this factor.
@@ -117,11 +115,6 @@ def lookups(sets: DataFrame, counts: np.ndarray) -> DataFrame:
     return sets.select("bag", "words", "occurrences").mapInArrow(run, TABLES["postings"])
 
 
-def laid(df: DataFrame) -> DataFrame:
-    """A written table, sent to all executors if it has at most BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def pairs(recs: DataFrame) -> DataFrame:
     """(rec_table, id_a, id_b): all pairs of records of one table in different batches that are copies or near-copies.
 
@@ -185,38 +178,36 @@ class Index:
             rows, words = sets.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
             if not self.state.commits:
                 self._count(sets, words)
-            look = written(lookups(sets, self._counters()), "batch-postings")
+            look = laid(lookups(sets, self._counters()), "batch-postings")
             both = F.array(F.struct(F.col("bag").alias("k"), F.lit(0).cast("bigint").alias("l"), F.lit(True).alias("is_bag"), F.col("root_a").alias("other")), F.struct(F.col("root_a").alias("k"), F.col("root_b").alias("l"), F.lit(False).alias("is_bag"), F.when(F.col("words") > 0, F.col("bag")).alias("other")))
             mine = signed.select("rec_table", "id", "batch_no", F.explode(F.when(F.col("words") > 0, both).otherwise(F.slice(both, 2, 1))).alias("m")).select("m.*", "rec_table", "id", "batch_no")
             known = None
             if self.state.commits:
-                found = written(self._compared(look, sets, rows, mine), "batch-pairs")
-                known = self._read("sets", laid(sets.select("bag")), "bag", rows).select("bag")
+                found, known = self._compared(look, sets, rows, words, mine)
             else:
                 found = self.spark.createDataFrame([], "rec_table string, id_a bigint, id_b bigint")
             if name not in self.state.names:
                 self._accept(name, words, look, sets, mine, known)
         return found
 
-    def _compared(self, look: DataFrame, sets: DataFrame, rows: int, mine: DataFrame) -> DataFrame:
-        """Pairs of records of the batch with earlier ones: by equal words, by equal plain forms, by words nearly all of which are common."""
-        a, b = self._read("postings", None, "key", look.count() if self.state.buckets > 1 else 0, look).alias("a"), laid(look).alias("b")
-        meet = (F.col("a.key") == F.col("b.key")) & (F.col("b.words") <= F.col("a.reach")) & (F.col("a.words") <= F.col("b.reach")) & (F.col("a.bag") != F.col("b.bag"))
-        near = laid(written(a.join(b, meet).select(F.col("a.bag").alias("bag"), F.col("b.bag").alias("bag_b")).distinct(), "batch-near"))
+    def _compared(self, look: DataFrame, sets: DataFrame, rows: int, words: int, mine: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs of records of the batch with earlier ones: by equal words, by equal plain forms, by words nearly all of which are common. Also the sets of words that are known."""
+        a, b = self._read("postings", None, "key", words, look).alias("a"), look.alias("b")
+        meet = (F.col("a.key") == F.col("b.key")) & (F.col("b.words") <= F.col("a.reach")) & (F.col("a.words") <= F.col("b.reach"))
+        near = laid(a.join(b, meet).select(F.col("a.bag").alias("bag"), F.col("b.bag").alias("bag_b")).distinct(), "batch-near")
+        known, near = near.where("bag = bag_b").select("bag"), near.where("bag <> bag_b")
         old = self._read("sets", near, "bag", rows).select("bag", "bag_b", F.col("words").alias("m"), F.col("occurrences").alias("theirs"))
         shared = F.size(F.array_intersect("theirs", "occurrences"))
         near = old.join(sets.withColumnRenamed("bag", "bag_b"), "bag_b").where(DENOMINATOR * shared >= NUMERATOR * (F.col("m") + F.col("words") - shared)).select("bag", "bag_b")
-        near = laid(written(near, "batch-nearly"))
-        own = mine.select("k", "l", "is_bag", F.lit(False).alias("near"), "other", F.col("id").alias("id_b"), F.col("batch_no").alias("batch_b"))
-        others = near.join(mine.where("is_bag").withColumnRenamed("k", "bag_b"), "bag_b").select(F.col("bag").alias("k"), "l", "is_bag", F.lit(True).alias("near"), "other", F.col("id").alias("id_b"), F.col("batch_no").alias("batch_b"))
-        asked = laid(written(own.unionByName(others).withColumnRenamed("other", "own"), "batch-asked"))
+        own = mine.select("k", "l", "is_bag", F.lit(False).alias("near"), F.col("other").alias("own"), F.col("id").alias("id_b"), F.col("batch_no").alias("batch_b"))
+        others = near.join(own.where("is_bag").withColumnRenamed("k", "bag_b"), "bag_b").select(F.col("bag").alias("k"), "l", "is_bag", F.lit(True).alias("near"), "own", "id_b", "batch_b")
+        asked = laid(own.unionByName(others), "batch-asked")
         # each pair once: equal words whatever else, equal plain forms of other words, nearly equal words of other plain forms
         met = self._read("members", asked, ["k", "l", "is_bag"], 2 * rows).where("batch_no < batch_b").where(F.expr("(is_bag and not near) or coalesce(other <> own, true)"))
-        return met.select("rec_table", F.col("id").alias("id_a"), "id_b")
+        return written(met.select("rec_table", F.col("id").alias("id_a"), "id_b"), "batch-pairs"), known
 
     def _accept(self, name: str, words: int, look: DataFrame, sets: DataFrame, mine: DataFrame, known: DataFrame | None) -> None:
         if known is not None:
-            known = laid(written(known, "batch-known"))
             look, sets = look.join(known, "bag", "left_anti"), sets.join(known, "bag", "left_anti")
         place = f"{len(self.state.names)}-{xxhash.xxh3_64_hexdigest(name)}"
         self._lay({"postings": look, "sets": sets, "members": mine}, place)
