@@ -85,6 +85,14 @@ def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
     return pack.packed(_table(spark, folder, "documents"))
 
 
+def p8_fill(spark: SparkSession, folder: str) -> DataFrame:
+    """One row on the packing: documents placed, containers over their capacity, documents cut that would have fitted, and whether at most a hundredth of the containers is more than the sizes need."""
+    placed = p8_containers(spark, folder)
+    boxes = placed.groupBy("container_id").agg(F.sum("size").alias("load")).agg(F.count("*").alias("n"), F.count_if(F.col("load") > pack.CAPACITY).alias("over"), F.sum("load").alias("total"))
+    docs = placed.groupBy("doc_id").agg(F.count("*").alias("pieces"), F.sum("size").alias("size")).agg(F.count("*").alias("documents"), F.count_if((F.col("pieces") > 1) & (F.col("size") <= pack.CAPACITY)).alias("cut"))
+    return docs.crossJoin(boxes).select("documents", "over", "cut", (F.col("n") <= F.ceil(F.col("total") / pack.CAPACITY) * 1.01 + 1).alias("filled"))  # one row beside one row
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     """Documents that fit no container whole: those the packing had to cut."""
     return p8_containers(spark, folder).where(F.col("piece_no") == 1).select("doc_id")
@@ -100,7 +108,7 @@ def p9_profile(spark: SparkSession, folder: str) -> DataFrame:
     return p9_found(spark, folder).join(docs.select("doc_id", "source"), "doc_id").groupBy("source", "level").agg(F.count("*").alias("n"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_pieces, p2_counts, p2_cover, p4_found, p4_collapsed, p6_found, p5_neighbours, p5_found, p7_ids, p8_containers, p8_found, p9_found, p9_profile)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_pieces, p2_counts, p2_cover, p4_found, p4_collapsed, p6_found, p5_neighbours, p5_found, p7_ids, p8_containers, p8_fill, p8_found, p9_found, p9_profile)}
 
 #: Records of both tables with their sorted plain forms, in DuckDB.
 _PLAIN_SQL = " union all ".join(
@@ -117,6 +125,7 @@ SQL: dict[str, str] = {
         select request_id, text_no, cast(length(x) as integer) chars, cast(length(x) as integer) covered, true as fits, true as linked from t where length(x) > 512""",
     "p2_found": """select distinct request_id, cast(i - 1 as integer) text_no from (select request_id, texts, unnest(range(1, len(texts) + 1)) i from ingest_request)
         where length(regexp_replace(texts[i], '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g')) > 512""",
+    "p8_fill": "select count(distinct doc_id) documents, 0::bigint as over, 0::bigint cut, true filled from documents",
     "p4_found": f"""with r as ({_PLAIN_SQL}), g as (select rec_table, leaves, min(id) id_a from r where len(leaves) > 0 group by all)
         select rec_table, id_a, id id_b from r join g using (rec_table, leaves) where id > id_a""",
     "p4_collapsed": f"""with r as ({_PLAIN_SQL}) select rec_table, min(id) id, count(*) copies from r where len(leaves) > 0 group by rec_table, leaves""",
