@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from atomloom.functions import symbols as S
+from atomloom.session import written
 
 #: Relations that are kept and the predicates they become.
 RELATIONS = {
@@ -23,11 +24,20 @@ NORMALIZATION_VERSION = 1
 SETTINGS = ("source_file", "normalization_version", "min_weight", "coverage_percent", "sample_seed")
 
 
+def fits(weight: Column, least_weight: float = LEAST_WEIGHT) -> Column:
+    """Whether an assertion is kept: a known relation, concepts of the language and enough weight; the cheap conditions come first."""
+    return F.coalesce(F.when(F.col("relation").isin(list(RELATIONS)) & F.col("start").rlike(CONCEPT) & F.col("end").rlike(CONCEPT) & F.col("metadata").rlike(r"^\s*\{"), weight >= least_weight), F.lit(False))
+
+
+def weight_of(metadata: Column) -> Column:
+    value = lambda m: F.when(m.isNotNull(), F.when(F.map_contains_key(m, F.lit("weight")), m["weight"].try_cast("double")).otherwise(F.lit(DEFAULT_WEIGHT)))
+    return S.let(F.from_json(metadata, "map<string,string>", {"mode": "PERMISSIVE"}), value)
+
+
 def weighed(rows: DataFrame, least_weight: float = LEAST_WEIGHT) -> DataFrame:
     """(line_no, relation, start, end, weight) of the assertions with a known relation, concepts of the language and enough weight; the cheap conditions come first."""
     df = rows.where(F.col("relation").isin(list(RELATIONS))).where(F.col("start").rlike(CONCEPT) & F.col("end").rlike(CONCEPT)).where(F.col("metadata").rlike(r"^\s*\{"))
-    value = lambda m: F.when(m.isNotNull(), F.when(F.map_contains_key(m, F.lit("weight")), m["weight"].try_cast("double")).otherwise(F.lit(DEFAULT_WEIGHT)))
-    df = df.withColumn("weight", S.let(F.from_json("metadata", "map<string,string>", {"mode": "PERMISSIVE"}), value))
+    df = df.withColumn("weight", weight_of(F.col("metadata")))
     return df.where(F.col("weight") >= least_weight).select("line_no", "relation", "start", "end", "weight")
 
 
@@ -94,25 +104,43 @@ def checksum(x: Column) -> Column:
     return F.sum(F.conv(F.substring(F.sha2(x, 256), 1, 15), 16, 10).cast("decimal(20,0)")).cast("string")
 
 
+def reduced(rows: DataFrame, least_weight: float = LEAST_WEIGHT) -> DataFrame:
+    """(relation, start, end, n, r struct<line_no, weight>): rows that repeat as they stand as one with their number and the first; all that are not kept as one with nulls. One pass."""
+    weight = weight_of(F.col("metadata"))
+    kept = rows.withColumn("weight", F.when(F.col("relation").isin(list(RELATIONS)), weight)).withColumn("kept", fits(F.col("weight"), least_weight))
+    own = lambda c: F.when(F.col("kept"), F.col(c)).alias(c)
+    return kept.select("line_no", "weight", own("relation"), own("start"), own("end")).groupBy("relation", "start", "end").agg(F.count("*").alias("n"), F.min(F.struct("line_no", "weight")).alias("r"))
+
+
+def per_triple(once: DataFrame, percent: float = PERCENT, seed: int = SEED) -> DataFrame:
+    """(predicate, source, target, n, r struct<line_no, relation, weight>, taken) of reduced() rows."""
+    df = projected(once.where("relation is not null").select(F.col("r.line_no").alias("line_no"), "relation", "start", "end", F.struct("n", "r.weight").alias("weight")))
+    df = df.groupBy("predicate", "source", "target").agg(F.sum("weight.n").alias("n"), F.min(F.struct("line_no", "relation", F.col("weight.weight").alias("weight"))).alias("r"))
+    return df.withColumn("taken", F.lit(True) if percent >= 100 else unit_score(F.col("predicate"), F.col("source"), F.col("target"), seed) < percent / 100)
+
+
+def _totals(once: DataFrame, triples: DataFrame) -> DataFrame:
+    """One row beside one row: what was scanned, and what became of it."""
+    sums = triples.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("eligible"), F.coalesce(F.sum(F.when(F.col("taken"), F.col("n"))), F.lit(0)).alias("sampled"), F.count_if("taken").alias("deduped"))
+    return once.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("scanned")).crossJoin(sums)
+
+
 def counts(rows: DataFrame, least_weight: float = LEAST_WEIGHT, percent: float = PERCENT, seed: int = SEED) -> DataFrame:
     """(scanned, eligible, sampled, deduped) in one row; eligible is counted before sampling, sampled before deduplication."""
-    same = weighed(rows, least_weight).groupBy("relation", "start", "end").agg(F.count("*").alias("n"))
-    per = projected(same.select(F.lit(0).alias("line_no"), "relation", "start", "end", F.col("n").alias("weight"))).withColumnRenamed("weight", "n")
-    per_triple = per.withColumn("taken", F.lit(True) if percent >= 100 else unit_score(F.col("predicate"), F.col("source"), F.col("target"), seed) < percent / 100)
-    per_triple = per_triple.groupBy("predicate", "source", "target", "taken").agg(F.sum("n").alias("n"))
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    totals = per_triple.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("eligible"), F.coalesce(F.sum(F.when(F.col("taken"), F.col("n"))), F.lit(0)).alias("sampled"), F.count_if("taken").alias("deduped"))
-    return one(rows, "scanned").crossJoin(totals)  # one row beside one row
+    once = written(reduced(rows, least_weight), "assertions-once")
+    return _totals(once, per_triple(once, percent, seed))
 
 
 def manifest(rows: DataFrame, source_file: str, max_rows: int = 0, least_weight: float = LEAST_WEIGHT, percent: float = PERCENT, seed: int = SEED) -> DataFrame:
-    """One row: settings, counts, relations and checksums of one run."""
-    stmts = statements(sampled(first_eligible(rows, least_weight), percent, seed))  # the choice depends on the triple only, so it commutes
+    """One row: settings, counts, relations and checksums of one run. The rows are read once."""
+    once = written(reduced(rows, least_weight), "assertions-once")
+    triples = written(per_triple(once, percent, seed), "triples")
+    stmts = statements(triples.where("taken").select("r.line_no", "r.relation", "predicate", "source", "target", "r.weight"))
     n = F.count("*")
     made = stmts.groupBy("predicate").agg(n.alias("n"), checksum(F.col("atom")).cast("decimal(38,0)").alias("a"), checksum(F.col("nl")).cast("decimal(38,0)").alias("v"))
     made = made.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("atom_count"), F.array_join(F.array_sort(F.collect_list(F.concat("predicate", F.lit("="), "n"))), ",").alias("relation_counts"), F.sum("a").cast("string").alias("atom_checksum"), F.sum("v").cast("string").alias("payload_checksum"))
     settings = [F.lit(source_file).alias("source_file"), F.lit(NORMALIZATION_VERSION).alias("normalization_version"), F.lit(float(least_weight)).alias("min_weight"), F.lit(float(percent)).alias("coverage_percent"), F.lit(seed).alias("sample_seed"), F.lit(max_rows).alias("max_rows")]
-    return counts(rows, least_weight, percent, seed).crossJoin(made).select(*settings, "*")
+    return _totals(once, triples).crossJoin(made).select(*settings, "*")
 
 
 def is_current(stored: dict | None, wanted: dict) -> bool:

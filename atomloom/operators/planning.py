@@ -1,7 +1,7 @@
 """Goal planning: candidate goals of questions scored against the signatures that facts and conclusions have.
 
 candidates is (question_no, pos, goal), questions (question_no, question), signatures (tier, seq, head, args) with tier 0
-for facts and 1 for conclusions. Candidates are few by nature; they are checked for their number before they are sent
+for facts and 1 for conclusions; with a column question_no they are those of one question each. Candidates are few by nature; they are checked for their number before they are sent
 to all executors, so signatures are never shuffled but by the aggregates made of them.
 """
 
@@ -30,7 +30,26 @@ SLOTS = ["$prf", "$tv", "?prf", "?tv"]
 EXISTENTIAL = ["any", "anything", "someone", "somebody", "something"]
 #: Most candidates and questions of one call.
 MOST_CANDIDATES = 100_000
-HINTED_HEADS = 5
+HINTED_HEADS, BATCH_HEADS, HINTED_CONCEPTS = 5, 8, 12
+#: The comment lines that a parser gets, by what they are for.
+HINT_YES_NO = "; query intent: yes/no question - prefer a direct provable query"
+HINT_OPEN = "; query intent: open question - prefer a variable-bearing query"
+HINT_EXISTENTIAL = "; existential wording may justify a helper predicate when a direct query shape is not derivable"
+HINT_NEGATIVE = "; use negation only if it is directly supported by explicit facts or rules"
+HINT_HEADS = "; prioritize these predicate heads first: "
+HINT_EXECUTABLE = "; preserve the question semantics while keeping the final query executable"
+NEGATIVE = ["not", "never"]
+BATCH_LINES = [
+    "; keep PLN structural constructors exactly as Implication, Premises, Conclusions, STV, And, Not",
+    "; keep IsA as the canonical class-membership predicate",
+    "; normalize entity and class symbols to lowercase snake_case",
+    "; lemmatize common nouns and verbs so plural and singular forms reuse one symbol",
+    "; reuse existing predicate heads from context when possible",
+    "; keep symbols consistent across all sentences in this batch",
+]
+CONCEPT_LINE, HEADS_LINE = "; canonical common concepts: ", "; preferred predicate heads: "
+QUERY_LINE = "; query mode: ask only for forms that your own facts or rules can directly derive"
+STATEMENT_LINE = "; statement mode: prefer rules whose conclusions match the eventual query predicate shape"
 
 
 def is_yes_no(question: Column) -> Column:
@@ -51,6 +70,15 @@ def status(question: Column, goal: Column, fallback_used: Column) -> Column:
     return F.when(F.coalesce(goal, F.lit("")) == "", "no_query").when(fallback_used | (begins_yes_no(question) & has_goal_variables(goal)), "weakly_aligned").otherwise("well_aligned")
 
 
+def _own(signatures: DataFrame) -> list[str]:
+    """question_no, if each question has signatures of its own."""
+    return [c for c in ("question_no",) if c in signatures.columns]
+
+
+def _same(signatures: DataFrame) -> list[Column]:
+    return [F.col("c.question_no") == F.col("s.question_no") for _ in _own(signatures)]
+
+
 def few(df: DataFrame) -> DataFrame:
     """A table that is sent to all executors, after a check of its size."""
     if df.limit(MOST_CANDIDATES + 1).count() > MOST_CANDIDATES:
@@ -78,7 +106,8 @@ def scored(candidates: DataFrame, questions: DataFrame, signatures: DataFrame) -
     open 3 in an open question, else 0; 2 if a fact has its arguments. An open goal of a yes/no question without a signature it can bind to is dropped."""
     c = few(parsed(candidates, questions))
     shape = [F.col("c.head") == F.col("s.head"), F.size("c.args") == F.size("s.args")]
-    s = signatures.groupBy("head", "args").agg(F.bool_or(F.col("tier") == 0).alias("fact"), F.bool_or(F.col("tier") == 1).alias("conclusion"))
+    shape += _same(signatures)
+    s = signatures.groupBy(*_own(signatures), "head", "args").agg(F.bool_or(F.col("tier") == 0).alias("fact"), F.bool_or(F.col("tier") == 1).alias("conclusion"))
     same_args = F.col("c.args") == F.col("s.args")
     seen = s.alias("s").join(c.alias("c"), shape).groupBy("c.question_no", "c.pos").agg(F.bool_or("fact").alias("fact"), F.bool_or("conclusion").alias("conclusion"), F.bool_or(binds(F.col("c.args"), F.col("s.args"))).alias("witness"), F.bool_or(F.col("fact") & same_args).alias("given"))
     df = c.join(seen, ["question_no", "pos"], "left")
@@ -101,10 +130,10 @@ def rendered(head: Column, args: Column) -> Column:
 def grounded(candidates: DataFrame, questions: DataFrame, signatures: DataFrame) -> DataFrame:
     """(question_no, rank, goal): for open candidates the ground signatures of their shape that keep their constants: 5 if one has a constant of the question, 3 for a fact, 2 for a conclusion."""
     c = few(parsed(candidates, questions).where("open"))
-    s = signatures.where(~F.exists("args", X.is_variable)).groupBy("head", "args").agg(F.max(F.when(F.col("tier") == 0, 3).otherwise(0)).alias("f"), F.max(F.when(F.col("tier") == 1, 2).otherwise(0)).alias("k"), F.min(F.struct("tier", "seq")).alias("at"))
-    j = s.alias("s").join(c.alias("c"), [F.col("c.head") == F.col("s.head"), F.size("c.args") == F.size("s.args"), binds(F.col("c.args"), F.col("s.args"))])
+    s = signatures.where(~F.exists("args", X.is_variable)).groupBy(*_own(signatures), "head", "args").agg(F.max(F.when(F.col("tier") == 0, 3).otherwise(0)).alias("f"), F.max(F.when(F.col("tier") == 1, 2).otherwise(0)).alias("k"), F.min(F.struct("tier", "seq")).alias("at"))
+    j = s.alias("s").join(c.alias("c"), [F.col("c.head") == F.col("s.head"), F.size("c.args") == F.size("s.args"), *_same(signatures), binds(F.col("c.args"), F.col("s.args"))])
     score = F.when(F.arrays_overlap("c.constants", "s.args"), 5).otherwise(0) + F.col("f") + F.col("k")
-    return ranked(j.select("question_no", rendered(F.col("s.head"), F.col("s.args")).alias("goal"), score.alias("score"), "pos", "at"), -F.col("score"), F.col("pos"), F.col("at"))
+    return ranked(j.select("c.question_no", rendered(F.col("s.head"), F.col("s.args")).alias("goal"), score.alias("score"), "pos", "at"), -F.col("score"), F.col("pos"), F.col("at"))
 
 
 def preferred_heads(norm: Column) -> Column:
@@ -130,10 +159,10 @@ def alignment(goal_head: Column, goal: Column, sig_head: Column, sig: Column, wo
 def aligned(candidates: DataFrame, questions: DataFrame, signatures: DataFrame) -> DataFrame:
     """(question_no, rank, goal): signatures with a head the question prefers that align with a ground candidate of the same arity."""
     c = few(parsed(candidates, questions).where(~F.col("open")).withColumn("heads", preferred_heads(F.col("norm"))).where(F.size("heads") > 0).withColumn("words", F.split("norm", " ")).withColumn("head_wanted", F.explode("heads")))
-    s = signatures.groupBy("head", "args").agg(F.min(F.struct("tier", "seq")).alias("at"))
-    j = s.alias("s").join(c.alias("c"), [F.col("c.head_wanted") == F.col("s.head"), F.size("c.args") == F.size("s.args")])
+    s = signatures.groupBy(*_own(signatures), "head", "args").agg(F.min(F.struct("tier", "seq")).alias("at"))
+    j = s.alias("s").join(c.alias("c"), [F.col("c.head_wanted") == F.col("s.head"), F.size("c.args") == F.size("s.args"), *_same(signatures)])
     j = j.withColumn("score", alignment(F.col("c.head"), F.col("c.args"), F.col("s.head"), F.col("s.args"), F.col("words"))).where("score > 0")
-    return ranked(j.select("question_no", rendered(F.col("s.head"), F.col("s.args")).alias("goal"), "score", "pos", "at"), -F.col("score"), F.col("pos"), F.col("at"))
+    return ranked(j.select("c.question_no", rendered(F.col("s.head"), F.col("s.args")).alias("goal"), "score", "pos", "at"), -F.col("score"), F.col("pos"), F.col("at"))
 
 
 def heuristic(questions: DataFrame) -> DataFrame:
@@ -181,8 +210,16 @@ def executed(plan: DataFrame, found: DataFrame, fallback: bool = True) -> DataFr
 
 
 def prepared(batch_hints: Column, context: Column) -> Column:
-    """The context a parser gets: hints of the batch, then atoms, white space collapsed and repeated ones dropped."""
-    return A.dedupe(F.concat(F.coalesce(batch_hints, F.array().cast("array<string>")), F.coalesce(context, F.array().cast("array<string>"))))
+    """The context a parser gets: atoms, then hints of the batch, white space collapsed and repeated ones dropped."""
+    return A.dedupe(F.concat(F.coalesce(context, F.array().cast("array<string>")), F.coalesce(batch_hints, F.array().cast("array<string>"))))
+
+
+def batch_hints(concepts: Column, context: Column, question: Column | None = None) -> Column:
+    """Comment lines for a batch of sentences, or for a question if it is given: fixed ones, its concepts, heads of the context, its mode."""
+    heads = A.context_heads(F.coalesce(context, F.array().cast("array<string>")))
+    listed = lambda text, xs: F.when(F.size(xs) > 0, F.concat(F.lit(text), F.array_join(xs, ", ")))
+    lines = F.array_compact(F.array(*map(F.lit, BATCH_LINES), listed(CONCEPT_LINE, F.slice(concepts, 1, HINTED_CONCEPTS)), listed(HEADS_LINE, F.slice(heads, 1, BATCH_HEADS)), F.lit(STATEMENT_LINE if question is None else QUERY_LINE)))
+    return lines if question is None else F.concat(lines, hints(question, heads))
 
 
 def hints(question: Column, heads: Column) -> Column:
@@ -190,14 +227,14 @@ def hints(question: Column, heads: Column) -> Column:
     norm = S.normalize_text(question)
     words = F.split(norm, " ")
     any_of = lambda xs: F.arrays_overlap(words, F.array(*map(F.lit, xs)))
-    intent = F.when(words[0].isin(AUXILIARIES), "; query intent: yes/no question - prefer a direct provable query").when(any_of(OPEN_WORDS), "; query intent: open question - prefer a variable-bearing query")
+    intent = F.when(words[0].isin(AUXILIARIES), HINT_YES_NO).when(any_of(OPEN_WORDS), HINT_OPEN)
     lines = F.array_compact(
         F.array(
             intent,
-            F.when(any_of(EXISTENTIAL), F.lit("; existential wording may justify a helper predicate when a direct query shape is not derivable")),
-            F.when(any_of(["not", "never"]), F.lit("; use negation only if it is directly supported by explicit facts or rules")),
-            F.when(F.size(heads) > 0, F.concat(F.lit("; prioritize these predicate heads first: "), F.array_join(F.slice(heads, 1, HINTED_HEADS), ", "))),
-            F.when(question.endswith("?"), F.lit("; preserve the question semantics while keeping the final query executable")),
+            F.when(any_of(EXISTENTIAL), F.lit(HINT_EXISTENTIAL)),
+            F.when(any_of(NEGATIVE), F.lit(HINT_NEGATIVE)),
+            F.when(F.size(heads) > 0, F.concat(F.lit(HINT_HEADS), F.array_join(F.slice(heads, 1, HINTED_HEADS), ", "))),
+            F.when(question.endswith("?"), F.lit(HINT_EXECUTABLE)),
         )
     )
     return F.when(norm == "", F.array().cast("array<string>")).otherwise(lines)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 TOP_K, CONTEXT_ATOMS, LEAST_SCORE = 10, 50, 0.6
 DIMENSION = 64
-#: Queries of one set, which is sent to all executors; larger sets are refused and belong into the operator for all vectors.
+#: Queries of one block, which is sent to all executors; a larger set is searched block by block.
 MOST_QUERIES = 50_000
 
 
@@ -50,13 +50,20 @@ def _unit(column: pa.Array, dimension: int) -> tuple[np.ndarray, np.ndarray]:
 def top_k(queries: DataFrame, points: DataFrame, query_key: str, key: str, vector: str, k: int = TOP_K, dimension: int | None = None) -> DataFrame:
     """(query_id, rank int, id, score double): for each query the k points with the highest cosine similarity, ties by id.
 
-    queries (query_key, vector) is a stated set of at most MOST_QUERIES rows, checked before it is sent out; every
-    batch of points keeps its own k best for each query, so only those are shuffled. Vectors that are null, of
+    queries (query_key, vector) is a stated set, sent out in blocks of MOST_QUERIES; every batch of points keeps its own k best for each query, so only those are shuffled. Vectors that are null, of
     another length than the queries', not finite or all zero are in no result, nor are rows with a null id.
     """
-    asked = queries.select(F.col(query_key).cast("bigint"), F.col(vector).cast("array<double>")).limit(MOST_QUERIES + 1).toArrow()
-    if asked.num_rows > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries in one set")
+    asked = queries.select(F.col(query_key).cast("bigint"), F.col(vector).cast("array<double>"))
+    n = asked.count()
+    if n > MOST_QUERIES:
+        blocks = -(-n * 5 // (MOST_QUERIES * 4))
+        block = F.pmod(F.xxhash64(query_key, F.lit(3)), F.lit(blocks))
+        out = None
+        for i in range(blocks):
+            one = top_k(queries.where(block == i), points, query_key, key, vector, k, dimension)
+            out = one if out is None else out.unionByName(one)
+        return out
+    asked = asked.toArrow()
     vectors = asked.column(1).combine_chunks()
     if dimension is None:
         sizes = [len(v) for v in vectors.to_pylist() if v is not None]
@@ -92,18 +99,39 @@ def payload_atoms(hits: DataFrame, points: DataFrame, key: str, pln: str) -> Dat
     return hits.join(points.select(F.col(key).alias("id"), pln), "id").select("query_id", "rank", F.posexplode(pln).alias("pos", "atom"))
 
 
+def last_lines(kb: DataFrame, most: int = CONTEXT_ATOMS) -> list[str]:
+    """The last `most` distinct lines of (seq, atom), blank ones left out, in the order in which each came first.
+
+    The newest rows are taken, then it is looked up whether they stood there before: nothing but them is aggregated.
+    If too few are left, more are taken.
+    """
+    kb = kb.select("seq", F.regexp_replace("atom", r"^\s+|\s+$", "").alias("atom")).where("atom <> ''")
+    n = 4 * most
+    while True:
+        newest = kb.orderBy(F.desc("seq")).limit(n)
+        edge = newest.agg(F.min("seq"), F.count("*")).first()
+        if not edge[1]:
+            return []
+        first = kb.join(F.broadcast(newest.select("atom").distinct()), "atom").groupBy("atom").agg(F.min("seq").alias("seq")).where(F.col("seq") >= edge[0])
+        rows = first.orderBy(F.desc("seq"), F.desc("atom")).limit(most).collect()
+        if len(rows) == most or edge[1] < n:
+            return [r.atom for r in reversed(rows)]
+        n *= 8
+
+
 def enriched(kb: DataFrame, retrieved: DataFrame, most: int = CONTEXT_ATOMS) -> DataFrame:
     """(place int, atom): KB lines by seq, then retrieved atoms by seq, the first of equal ones kept, the last `most` of all.
 
     Both are (seq, atom). A retrieved atom that is in the KB keeps its old place there and can so be cut.
     """
-    lines = kb.select(F.lit(0).alias("tier"), "seq", F.trim(F.regexp_replace("atom", r"^\s+|\s+$", "")).alias("atom")).where("atom <> ''")
-    both = lines.unionByName(retrieved.select(F.lit(1).alias("tier"), "seq", "atom"))
-    first = both.where("atom is not null").groupBy("atom").agg(F.min(F.struct("tier", "seq")).alias("at"))
     from pyspark.sql import Window
 
-    last = first.orderBy(F.desc("at"), F.desc("atom")).limit(most)  # a bounded number of rows from here on
-    return last.select((F.row_number().over(Window.orderBy("at", "atom")) - 1).alias("place"), "atom")
+    spark = kb.sparkSession
+    stripped = kb.select(F.regexp_replace("atom", r"^\s+|\s+$", "").alias("atom"))
+    new = retrieved.where("atom is not null").groupBy("atom").agg(F.min("seq").alias("seq")).join(stripped, "atom", "left_anti")
+    lines = spark.createDataFrame(list(enumerate(last_lines(kb, most))), "seq bigint, atom string").select(F.lit(0).alias("tier"), "seq", "atom")
+    last = lines.unionByName(new.select(F.lit(1).alias("tier"), "seq", "atom")).orderBy(F.desc("tier"), F.desc("seq"), F.desc("atom")).limit(most)  # a bounded number of rows from here on
+    return last.select((F.row_number().over(Window.orderBy("tier", "seq", "atom")) - 1).alias("place"), "atom")
 
 
 def proof_fragments(proof: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from atomloom.operators import chaining as C
 from atomloom.operators import parsers
 from atomloom.operators import planning as P
+from atomloom.operators.retrieval import CONTEXT_ATOMS
 
 RESULT = "case_name string, category string, parser string, mode string, statements int, queries int, executed_query string, query_status string, fallback_used boolean, proof_found boolean, correct boolean, total_seconds double, error string"
 #: Our own cases: (name, category, texts, question, whether a proof is expected).
@@ -30,6 +31,24 @@ CASES = [
     ("unrelated", "negative", ["Cats are animals.", "Tom is a cat."], "Is Tom a plant?", False),
 ]
 QUICK = ["cat-animal", "reader-wise", "who-wise", "glue-used", "missing"]
+#: The built-in smoke suite in its order, and its quick part.
+SMOKE = [
+    ("dog-animal-yesno", "isa", ["Dogs are animals.", "Fido is a dog."], "Is Fido an animal?", True),
+    ("human-mortal-yesno", "isa", ["Humans are mortal.", "Socrates is a human."], "Is Socrates mortal?", True),
+    ("fish-smart-yesno", "rule", ["People who eat fish are smart.", "Kebede eats fish."], "Is Kebede smart?", True),
+    ("teacher-educates-yesno", "rule", ["Teachers educate students.", "Marta is a teacher."], "Does Marta educate students?", True),
+    ("programmer-solves-yesno", "rule", ["Programmers solve problems.", "Bekele is a programmer."], "Does Bekele solve problems?", True),
+    ("who-is-smart-open", "open", ["People who eat fish are smart.", "Kebede eats fish."], "Who is smart?", True),
+    ("what-does-kebede-eat-open", "open", ["Kebede eats fish."], "What does Kebede eat?", True),
+    ("hasa-dog-nose", "relation", ["Dogs have noses.", "Fido is a dog."], "Does Fido have a nose?", True),
+    ("usedfor-soap-cleaning", "relation", ["Soap is used for cleaning."], "Is soap used for cleaning?", True),
+    ("capableof-dog-drink-water", "relation", ["Dogs are capable of drinking water."], "Is dog capable of drinking water?", True),
+    ("partof-automobile-horn-car", "relation", ["An automobile horn is part of a car."], "Is automobile horn part of car?", True),
+    ("plural-dolphins-mammals", "normalization", ["Dolphins are mammals."], "Are dolphins mammals?", True),
+    ("negative-missing-fido", "negative", ["Dogs are animals."], "Is Fido an animal?", False),
+    ("negative-unrelated-query", "negative", ["Cats are animals."], "Is soap used for cleaning?", False),
+]
+SMOKE_QUICK = ["dog-animal-yesno", "fish-smart-yesno", "what-does-kebede-eat-open", "usedfor-soap-cleaning", "negative-missing-fido"]
 
 
 def _spaced(e, space: str):
@@ -55,11 +74,12 @@ def run(spark: SparkSession, cases: list[tuple], parser_name: str = "template",
     table = spark.createDataFrame([(i, c[2], c[3]) for i, c in enumerate(cases)], "case_no int, texts array<string>, question string")
     p = parsers.parser(parser_name)
     made = {r.case_no: r.statements for r in p.parse_batch(table, "case_no", "texts").collect()}
-    goals = {r.case_no: r.queries for r in p.parse_query(table, "case_no", "question").collect()}
+    own = lambda i: [s for j in (range(i + 1) if mode == "cumulative" else [i]) for s in made.get(j) or []]
+    seen = spark.createDataFrame([(i, c[3], own(i)[-CONTEXT_ATOMS:]) for i, c in enumerate(cases)], "case_no int, question string, context array<string>")
+    goals = {r.case_no: r.queries for r in p.parse_query(seen, "case_no", "question").collect()}
     for i in range(len(cases)):
         try:
-            own = [s for j in (range(i + 1) if mode == "cumulative" else [i]) for s in made[j]]
-            spaced = [_text([e[0], e[1], _spaced(e[2], str(i)), e[3]]) for e in map(C.parse, own)]
+            spaced = [_text([e[0], e[1], _spaced(e[2], str(i)), e[3]]) for e in map(C.parse, own(i))]
             asked[i] = [(q, C.Atom.of(_spaced(C.parse(q)[2], str(i)))) for q in goals[i]]
             statements += spaced
             rows[i] = None

@@ -2,21 +2,41 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass, replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from atomloom.operators import chunking as C
 from atomloom.operators import planning as P
+from atomloom.session import written
 
+#: What is told when nothing was made, translated or proved.
 NO_STATEMENTS = "Parser produced no statements for any chunk or batch. Check parser logs and model configuration."
 NO_GOAL = "I couldn't translate this question into a logical query."
 NO_PROOF = "I couldn't find a proof for that."
 WEAK = "No proof was found. The generated query is only weakly aligned with the current knowledge base, so the failure may come from query shape mismatch or missing witness facts."
 
 
-def sized(docs: DataFrame, key: str, text: str, most_sentences: int = C.MOST_SENTENCES, most_chars: int = C.MOST_CHARS) -> DataFrame:
-    """(key, chunk_count, batch_count, batch_sizes array<int>, parser_calls, chunks, numbers): how each text is handed to a parser in batches."""
-    df = C.chunks(docs, key, text).withColumn("numbers", C.batch_numbers(F.col("chunks"), most_sentences, most_chars))
+@dataclass(frozen=True)
+class Limits:
+    """How texts are cut and batched; paragraph_size, where it isn't 0, keeps paragraphs together, and by_chunk hands chunks over one at a time."""
+
+    size: int = C.SIZE
+    overlap: int = C.OVERLAP
+    most_sentences: int = C.MOST_SENTENCES
+    most_chars: int = C.MOST_CHARS
+    paragraph_size: int = 0
+    by_chunk: bool = False
+
+
+def sized(docs: DataFrame, key: str, text: str, limits: Limits = Limits()) -> DataFrame:
+    """(key, chunk_count, batch_count, batch_sizes array<int>, parser_calls, chunks, numbers): how each text is handed to a parser in batches, or chunk by chunk (no batches then)."""
+    df = docs.select(key, C.paragraphs_first(F.col(text), limits.paragraph_size).alias("chunks")) if limits.paragraph_size else C.chunks(docs, key, text, limits.size, limits.overlap)
+    if limits.by_chunk:
+        numbers = F.transform("chunks", lambda c, i: i)
+        return df.select(key, F.size("chunks").alias("chunk_count"), F.lit(0).alias("batch_count"), F.array().cast("array<int>").alias("batch_sizes"), F.size("chunks").alias("parser_calls"), "chunks", numbers.alias("numbers"))
+    df = df.withColumn("numbers", C.batch_numbers(F.col("chunks"), limits.most_sentences, limits.most_chars))
     last = F.coalesce(F.try_element_at("numbers", F.lit(-1)), F.lit(-1))
     each = F.when(last >= 0, F.sequence(F.lit(0), last)).otherwise(F.array().cast("array<int>"))
     df = df.withColumn("batch_sizes", F.transform(each, lambda b: F.size(F.filter("numbers", lambda n: n == b))))
@@ -32,19 +52,29 @@ def outcome(parser_calls: Column, empty_results: Column, atoms: Column, error: C
     return F.struct(F.when(err.isNotNull(), "failed").otherwise("success").alias("status"), err.alias("error"))
 
 
-def ingest(docs: DataFrame, key: str, text: str, parser) -> DataFrame:
-    """(key, atoms array<string>, status, error, chunk_count, batch_count, batch_sizes, parser_calls) for each text.
+def ingest(docs: DataFrame, key: str, text: str, parser, limits: Limits = Limits(), context=None) -> DataFrame:
+    """(key, atoms array<string>, status, error, chunk_count, batch_count, batch_sizes, parser_calls, units) for each text.
 
-    All texts of one call see the knowledge base as it stood before: to have each see those before it, call it once a text.
+    units is array<struct<nl, pln>>: the text of each batch that gave statements, with them. A parser with a chunk size
+    or a way of its own to take chunks goes before the limits. context is a function from (key, text) of all batches
+    to (key, context array<string>). All texts of one call see the knowledge base as it stood before: to have each see
+    those before it, call it once a text.
     """
-    units = sized(docs, key, text)
+    own = getattr(parser, "paragraph_size", None)
+    limits = replace(limits, paragraph_size=limits.paragraph_size or own or 0, by_chunk=limits.by_chunk or getattr(parser, "by_chunk", False))
+    units = written(sized(docs, key, text, limits), "ingest-units")
     batches = units.select(key, F.posexplode(C.batches(F.col("chunks"), F.col("numbers"))).alias("batch_no", "texts")).select(F.struct(key, "batch_no").alias("k"), "texts")
-    made = parser.parse_batch(batches, "k", "texts").select(F.col(f"k.{key}").alias(key), F.col("k.batch_no").alias("batch_no"), "statements")
-    per_text = made.groupBy(key).agg(F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("batch_no", "statements"))), lambda x: x["statements"]))).alias("atoms"), F.count_if(F.size("statements") == 0).alias("empty"))
+    if context is not None:
+        batches = batches.join(context(batches.select("k", F.array_join("texts", " ").alias("text"))), "k", "left")
+    made = parser.parse_batch(batches, "k", "texts").select("k", "statements").join(batches.select("k", F.array_join("texts", " ").alias("nl")), "k")
+    made = made.select(F.col(f"k.{key}").alias(key), F.col("k.batch_no").alias("batch_no"), "statements", "nl")
+    per_text = made.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("batch_no", "statements", "nl"))).alias("all"))
+    none = F.array().cast("array<string>")
+    per_text = per_text.select(key, F.array_distinct(F.flatten(F.transform("all", lambda x: x["statements"]))).alias("atoms"), F.size(F.filter("all", lambda x: F.size(x["statements"]) == 0)).alias("empty"), F.transform(F.filter("all", lambda x: F.size(x["statements"]) > 0), lambda x: F.struct(x["nl"].alias("nl"), x["statements"].alias("pln"))).alias("units"))
     df = units.drop("chunks", "numbers").join(per_text, key, "left")
-    atoms = F.coalesce("atoms", F.array().cast("array<string>"))
+    atoms = F.coalesce("atoms", none)
     o = outcome(F.col("parser_calls"), F.coalesce("empty", F.lit(0)), F.size(atoms))
-    return df.select(key, atoms.alias("atoms"), o["status"].alias("status"), o["error"].alias("error"), "chunk_count", "batch_count", "batch_sizes", "parser_calls")
+    return df.select(key, atoms.alias("atoms"), o["status"].alias("status"), o["error"].alias("error"), "chunk_count", "batch_count", "batch_sizes", "parser_calls", F.coalesce("units", F.array().cast("array<struct<nl:string,pln:array<string>>>")).alias("units"))
 
 
 def answer(goal: Column, proof: Column, status: Column) -> Column:

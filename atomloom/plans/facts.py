@@ -30,13 +30,15 @@ def _select(k: int) -> str:
     return f"select {k} * {KIND} + {_UNIQUE.get(k, key)} line_no, '{relation}' relation, concat({lang}, {start}, '/n') as start, concat('/c/en/', {end}) as \"end\", {meta} metadata from {table}"
 
 
-def assertions(spark: SparkSession, folder: str) -> DataFrame:
-    """(line_no, relation, start, end, metadata): some without or with malformed weight, some of another language or relation."""
-    names = ("nation", "region", "customer", "supplier", "part", "lineitem")
+def assertions(spark: SparkSession, folder: str, heads: tuple[str, ...] | None = None) -> DataFrame:
+    """(line_no, relation, start, end, metadata): some without or with malformed weight, some of another language or relation; with heads, of the relations that become these alone."""
+    kinds = [k for k in SOURCES if heads is None or B.RELATIONS.get(SOURCES[k][0]) in heads]
+    names = [n for n in ("nation", "region", "customer", "supplier", "part", "lineitem") if any(n in SOURCES[k][4] for k in kinds)]
     tables = {n: spark.read.parquet(f"{folder}/{n}.parquet") for n in names}
-    tables["lineitem"] = spread(tables["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    if "lineitem" in tables:
+        tables["lineitem"] = spread(tables["lineitem"].select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
     out = None
-    for k in SOURCES:
+    for k in kinds:
         text = _select(k).replace('"end"', "`end`").replace("{", "{{").replace("}", "}}")
         for n in names:
             text = text.replace(f"from {n}", f"from {{{n}}}").replace(f"join {n} ", f"join {{{n}}} ")
@@ -45,20 +47,20 @@ def assertions(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(F.col("line_no").cast("bigint"), "relation", "start", "end", "metadata")
 
 
-def triples(spark: SparkSession, folder: str) -> DataFrame:
+def triples(spark: SparkSession, folder: str, heads: tuple[str, ...] | None = None) -> DataFrame:
     """The statements of all eligible assertions, each triple once."""
-    return B.statements(B.first_eligible(assertions(spark, folder)))
+    return B.statements(B.first_eligible(assertions(spark, folder, heads)))
 
 
-def facts(spark: SparkSession, folder: str) -> DataFrame:
-    """(seq, head, subject, object, strength, confidence, raw): the triples as facts."""
+def facts(spark: SparkSession, folder: str, heads: tuple[str, ...] | None = None) -> DataFrame:
+    """(seq, head, subject, object, strength, confidence, stmt_id, raw): the triples as facts; those with one of the heads, if given."""
     c = F.col("confidence").cast("double")
-    return triples(spark, folder).select(F.col("line_no").alias("seq"), F.col("predicate").alias("head"), F.col("source").alias("subject"), F.col("target").alias("object"), F.lit(1.0).alias("strength"), c.alias("confidence"), F.col("atom").alias("raw"))
+    return triples(spark, folder, heads).select(F.col("line_no").alias("seq"), F.col("predicate").alias("head"), F.col("source").alias("subject"), F.col("target").alias("object"), F.lit(1.0).alias("strength"), c.alias("confidence"), "stmt_id", F.col("atom").alias("raw"))
 
 
-def stored_facts(spark: SparkSession, folder: str) -> DataFrame:
-    """The facts as a written table, for queries that read them several times."""
-    return written(facts(spark, folder), "fact-base")
+def stored_facts(spark: SparkSession, folder: str, heads: tuple[str, ...] | None = None, columns: tuple[str, ...] = ("head", "subject", "object", "strength", "confidence", "stmt_id")) -> DataFrame:
+    """The facts as a written table, for queries that read them several times: no more heads and columns than they read."""
+    return written(facts(spark, folder, heads).select(*columns), "fact-base")
 
 
 def sql() -> str:

@@ -17,6 +17,15 @@ RULES = [
     "(: in_in (Implication (Premises (AtLocation $a $b) (AtLocation $b $c)) (Conclusions (AtLocation $a $c))) (STV 0.95 0.98))",
 ]
 CONJUNCTIVE = "(: near_brand (Implication (Premises (MadeOf $p $b) (AtLocation $p $s) (AtLocation $s $n)) (Conclusions (BrandIn $b $n))) (STV 0.9 0.97))"
+TERMS = [
+    "(: mean (Implication (Premises (Part $p) (AverageDist (QuantityDist $p $l) -> $m)) (Conclusions (MeanDist $p))) (STV 1.0 0.95))",
+    "(: sum (Implication (Premises (Part $p) (FoldAllValue (QuantityDist $p $l) $v 5 + -> $s)) (Conclusions (SumDist $p))) (STV 1.0 0.9))",
+    "(: most (Implication (Premises (Part $p) (FoldAll (Sold $p $q) $q 10 max -> $s)) (Conclusions (MostDist $p))) (STV 1.0 0.9))",
+    "(: worth (Implication (Premises (Part $p) (Map2Dist * (MeanDist $p) (PriceDist $p) -> $w)) (Conclusions (WorthDist $p))) (STV 0.9 1.0))",
+    "(: half (Implication (Premises (Part $p) (MapDist half (WorthDist $p) -> $w)) (Conclusions (HalfDist $p))) (STV 1.0 1.0))",
+    "(: big (Implication (Premises (Part $p) (GreaterThan (MeanDist $p) 25)) (Conclusions (Big $p))) (STV 1.0 1.0))",
+    "(: dear (Implication (Premises (Retail $p $r) (Compute * ($r 2) -> $d) (GreaterThan $d 2500)) (Conclusions (Dear $p))) (STV 1.0 0.8))",
+]
 OR_NOT = [
     "(: rich (Implication (Premises (Or (Balance $c $v high) (Balance $c $v top))) (Conclusions (Rich $c))) (STV 1.0 0.9))",
     "(: lend (Implication (Premises (Rich $c) (Not (Blocked $c))) (Conclusions (Lend $c))) (STV 1.0 0.8))",
@@ -80,8 +89,8 @@ def canonical_lookup(spark, folder):
     return L.looked_up(_asked(spark, folder), _stored(spark, folder)).where("tier = 'canonical'").select("goal_no", "raw")
 
 
-def _facts(spark, folder):
-    return K.stored_facts(spark, folder).select("head", F.array("subject", "object").alias("args"), "strength", "confidence", F.lit(0).alias("steps"), F.array(F.regexp_extract("raw", r"^\(: (\S+)", 1)).alias("trace"))
+def _facts(spark, folder, *heads):
+    return K.stored_facts(spark, folder, heads).select("head", F.array("subject", "object").alias("args"), "strength", "confidence", F.lit(0).alias("steps"), F.array("stmt_id").alias("trace"))
 
 
 def _flat(df):
@@ -91,24 +100,24 @@ def _flat(df):
 
 def chain_location(spark, folder):
     """Which customers are located in which region, and with what confidence?"""
-    return C.location(K.stored_facts(spark, folder))
+    return C.location(K.stored_facts(spark, folder, ("AtLocation", "PartOf"), ("head", "subject", "object", "strength", "confidence")))
 
 
 def chain_conjunctive(spark, folder):
     """One rule with three premises."""
-    facts = _facts(spark, folder)
+    facts = _facts(spark, folder, "MadeOf", "AtLocation")
     return _flat(C.best(C.fire(C.rules(CONJUNCTIVE)[0], [facts] * 3)))
 
 
 def chain_transitive(spark, folder):
     """Locations through locations and parts, to the fixpoint."""
     rules = [r for t in RULES for r in C.rules(t)]
-    return _flat(C.chain(_facts(spark, folder).where("head in ('AtLocation', 'PartOf')"), rules, timeout_s=600, whole=True))
+    return _flat(C.chain(_facts(spark, folder, "AtLocation", "PartOf"), rules, timeout_s=600, whole=True))
 
 
 def chain_transitive_cte(spark, folder):
     """The confidence of the best chain of locations and parts, by a recursive query: a second way for acyclic facts."""
-    f = K.stored_facts(spark, folder).where("head in ('AtLocation', 'PartOf')").select("head", "subject", "object", "confidence")
+    f = K.stored_facts(spark, folder, ("AtLocation", "PartOf"), ("head", "subject", "object", "confidence"))
     f.createOrReplaceTempView("atomloom_facts")
     return spark.sql("""with recursive w(subject, object, confidence) as (select subject, object, confidence from atomloom_facts where head = 'AtLocation'
         union all select w.subject, f.object, least(w.confidence, f.confidence) from w join atomloom_facts f on f.subject = w.object)
@@ -117,7 +126,9 @@ def chain_transitive_cte(spark, folder):
 
 def chain_open_goal(spark, folder):
     """Every binding of an open goal: what is located in the nations' regions."""
-    got = C.answers(_facts(spark, folder), "(: $prf (AtLocation $who nation_3) $tv)")
+    facts = K.facts(spark, folder, ("AtLocation",)).where("object = 'nation_3'")  # the goal's constant, where it restricts
+    facts = facts.select("head", F.array("subject", "object").alias("args"), "strength", "confidence", F.lit(0).alias("steps"), F.array("stmt_id").alias("trace"))
+    got = C.answers(facts, "(: $prf (AtLocation $who nation_3) $tv)")
     return got.select("who", F.round("confidence", 6).alias("confidence"))
 
 
@@ -169,12 +180,26 @@ def chain_compute(spark, folder):
     return d.select("l_orderkey", "l_linenumber", F.round("off", 4).alias("off"), F.round(m["mu"], 4).alias("mapped"), m["sigma"].alias("mapped_sigma"), F.round(a["mu"], 4).alias("added"), a["sigma"].alias("added_sigma"))
 
 
+def chain_terms(spark, folder):
+    """Rules that average, fold, map and compare distributions and compute values, each reading what others conclude."""
+    li = _read(spark, folder, "lineitem", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
+    part = _read(spark, folder, "part", "p_partkey", "p_retailprice")
+    value = lambda m, s: F.struct(F.col(m).cast("double").alias("mu"), s.cast("double").alias("sigma")) if m else F.lit(None).cast(C.VALUE)
+    fact = lambda df, head, v, *a: df.select(F.lit(head).alias("head"), F.array(*(x.cast("string") for x in a)).alias("args"), F.lit(1.0).alias("strength"), F.lit(1.0).alias("confidence"), F.lit(0).alias("steps"), F.array().cast("array<string>").alias("trace"), v.alias("value"))
+    p, l = F.concat(F.lit("p"), "p_partkey"), F.concat(F.lit("p"), "l_partkey")
+    facts = fact(part, "Part", value(None, None), p).unionByName(fact(part, "Retail", value(None, None), p, F.col("p_retailprice"))).unionByName(fact(part, "PriceDist", value("p_retailprice", F.lit(2.0)), p))
+    facts = facts.unionByName(fact(li, "QuantityDist", value("l_quantity", F.lit(1.0)), l, F.concat_ws("_", "l_orderkey", "l_linenumber"))).unionByName(fact(li, "Sold", value(None, None), l, F.col("l_quantity")))
+    rules = [r for t in TERMS for r in C.rules(t)]
+    got = C.chain(facts, rules, timeout_s=600, whole=True).where(F.col("head").isin([r.conclusion.head for r in rules]))
+    return got.select("head", F.get("args", F.lit(0)).alias("part"), F.round("strength", 6).alias("strength"), F.round("confidence", 6).alias("confidence"), F.round("value.mu", 4).alias("mu"), F.round("value.sigma", 4).alias("sigma"))
+
+
 def chain_exists(spark, folder):
     """Unary helper facts: suppliers where something is."""
-    return _flat(C.exists(_facts(spark, folder), C.Atom("AtLocation", ("$x", "$y")), "$y", "HoldsSomething"))
+    return _flat(C.exists(_facts(spark, folder, "AtLocation"), C.Atom("AtLocation", ("$x", "$y")), "$y", "HoldsSomething"))
 
 
-QUERIES = {f.__name__: f for f in (vector_topk, source_lookup, payload_atoms, context_enrich, count_by_source, exact_lookup, canonical_lookup, chain_location, chain_conjunctive, chain_transitive, chain_transitive_cte, chain_open_goal, chain_compare, chain_or_not, chain_average, chain_fold, chain_compute, chain_exists)}
+QUERIES = {f.__name__: f for f in (vector_topk, source_lookup, payload_atoms, context_enrich, count_by_source, exact_lookup, canonical_lookup, chain_location, chain_conjunctive, chain_transitive, chain_transitive_cte, chain_open_goal, chain_compare, chain_or_not, chain_average, chain_fold, chain_compute, chain_terms, chain_exists)}
 
 _F = K.sql()
 from atomloom.functions import sql as Q  # noqa: E402
@@ -212,5 +237,10 @@ SQL = {
     "chain_average": "select 'p' || l_partkey part, round(avg(l_quantity), 6) average from lineitem group by 1",
     "chain_fold": "with g as (select 'p' || l_partkey part, sum(l_quantity) + 10 a, min(l_quantity) b, greatest(max(l_quantity), 3) c, count(*)::double d from lineitem group by 1) select part, 'sum' as fold, round(a, 6) as value from g union all select part, 'min', round(b, 6) from g union all select part, 'max', round(c, 6) from g union all select part, 'count', d from g",
     "chain_compute": "select l_orderkey, l_linenumber, round(l_extendedprice * l_discount, 4) off, round(l_extendedprice * 0.5 + 1, 4) mapped, 1.0::double mapped_sigma, round(l_extendedprice + l_discount, 4) added, 5.0::double added_sigma from lineitem",
+    "chain_terms": """with m as (select 'p' || l_partkey part, avg(l_quantity) mu, sqrt(count(*)) / count(*) sigma, sum(l_quantity) s, max(l_quantity) x from (select l_partkey, l_orderkey, l_linenumber, min(l_quantity) l_quantity from lineitem group by all) group by 1), p as (select 'p' || p_partkey part, p_retailprice r from part),
+        j as (select * from m join p using (part)), w as (select part, mu * r mu, sqrt(power(sigma * r, 2) + power(2.0 * mu, 2)) sigma from j),
+        u as (select 'MeanDist' head, part, 1.0::double strength, 0.95::double confidence, mu, sigma from j union all select 'SumDist', part, 1.0, 0.9, s + 5, 0.0 from j union all select 'MostDist', part, 1.0, 0.9, greatest(x, 10), 0.0 from j
+            union all select 'WorthDist', part, 0.9, 0.95, mu, sigma from w union all select 'HalfDist', part, 0.9, 0.95, mu / 2, sigma / 2 from w union all select 'Big', part, 1.0, 0.95, null, null from j where mu > 25 union all select 'Dear', part, 1.0, 0.8, null, null from p where r * 2 > 2500)
+        select head, part, strength, confidence, round(mu, 4) mu, round(sigma, 4) sigma from u""",
     "chain_exists": f"with {_F} select 'HoldsSomething' head, object args, round(max(strength), 6) strength, round(max(confidence), 6) confidence from fact where head = 'AtLocation' group by object",
 }

@@ -30,8 +30,12 @@ def _candidates(spark):
     return spark.createDataFrame([(q, i, g) for i, (q, g) in enumerate(GOALS)], "question_no int, pos int, goal string")
 
 
+#: Heads that goals have or questions can name: no other fact can have a part in a plan.
+_HEADS = tuple(sorted({g.split("(")[2].split()[0] for _, g in GOALS} | {*P.HEAD_PHRASES, "AtLocation"}))
+
+
 def _signatures(spark, folder):
-    given = K.facts(spark, folder).select(F.lit(0).alias("tier"), "seq", "head", F.array("subject", "object").alias("args"))
+    given = K.facts(spark, folder, _HEADS).select(F.lit(0).alias("tier"), "seq", "head", F.array("subject", "object").alias("args"))
     made = spark.createDataFrame([(1, i, h, a) for i, (h, a) in enumerate(CONCLUSIONS)], "tier int, seq bigint, head string, args array<string>")
     return written(given.unionByName(made), "signatures")
 
@@ -72,7 +76,7 @@ def plan_executed(spark, folder):
     from atomloom.operators import lookup as L
 
     plan = written(plan_goals(spark, folder), "plan")
-    stored = K.facts(spark, folder).select(F.lit(0).alias("file_rank"), "seq", "raw")
+    stored = K.facts(spark, folder, _HEADS).select(F.lit(0).alias("file_rank"), "seq", "raw")
     hit = L.looked_up(plan.select(F.struct("question_no", "rank").alias("goal_no"), "goal"), stored)
     return P.executed(plan, hit.select("goal_no.question_no", "goal_no.rank", F.col("raw").alias("proof")))
 
@@ -115,9 +119,9 @@ _PLAN = f"""{_BASE}, {_SC}, so as (select question_no, goal, row_number() over (
         union all select question_no, arg_min(goal, pos), 0, 0, 0 from cs where question_no not in (select question_no from sc) and question_no not in (select question_no from yq) group by 1
         union all select question_no, goal, 1, rank, 0 from al union all select question_no, goal, 2, rank, 0 from gr where question_no in (select question_no from yq) union all select question_no, goal, 3, rank, 0 from he where question_no in (select question_no from yq) and question_no in (select question_no from cs)),
     pl1 as (select question_no, goal, min((tier, k0, k1)) o from pl0 group by 1, 2), pl as (select question_no, row_number() over (partition by question_no order by o)::integer rank, goal from pl1)"""
-_hint = [f"case when w[1] in ({Q.quoted(P.AUXILIARIES)}) then '; query intent: yes/no question - prefer a direct provable query' when list_has_any(w, [{Q.quoted(P.OPEN_WORDS)}]) then '; query intent: open question - prefer a variable-bearing query' end",
-    f"case when list_has_any(w, [{Q.quoted(P.EXISTENTIAL)}]) then '; existential wording may justify a helper predicate when a direct query shape is not derivable' end", "case when list_has_any(w, ['not', 'never']) then '; use negation only if it is directly supported by explicit facts or rules' end",
-    "'; prioritize these predicate heads first: IsA, PartOf'", "case when question like '%?' then '; preserve the question semantics while keeping the final query executable' end"]
+_hint = [f"case when w[1] in ({Q.quoted(P.AUXILIARIES)}) then {_q(P.HINT_YES_NO)} when list_has_any(w, [{Q.quoted(P.OPEN_WORDS)}]) then {_q(P.HINT_OPEN)} end",
+    f"case when list_has_any(w, [{Q.quoted(P.EXISTENTIAL)}]) then {_q(P.HINT_EXISTENTIAL)} end", f"case when list_has_any(w, ['not', 'never']) then {_q(P.HINT_NEGATIVE)} end",
+    f"{_q(P.HINT_HEADS)} || 'IsA, PartOf'", f"case when question like '%?' then {_q(P.HINT_EXECUTABLE)} end"]
 SQL = {
     "plan_executed": f"""with {_PLAN}, lk as (select question_no, rank, goal, fact.raw proof from pl left join fact on goal = '(: $prf (' || head || ' ' || subject || ' ' || object || ') $tv)'),
         ok as (select question_no, min(rank) rank from lk where proof is not null group by 1), no_ as (select question_no, max(rank) rank from lk where question_no not in (select question_no from ok) group by 1)

@@ -59,6 +59,11 @@ def bench_run(spark, folder):
     return both.drop("total_seconds")
 
 
+def bench_smoke(spark, folder):
+    """The built-in suite through three parsers: each case proved or not as it should be."""
+    return runs.compared(spark, runs.SMOKE, ["template", "canonical", "extraction"]).select("case_name", "category", "parser", "proof_found", "correct")
+
+
 def stream_ingest(spark, folder):
     """All request texts through the streaming job: the statements in the knowledge base when all input has been taken."""
     from atomloom.streaming import ingest
@@ -69,9 +74,10 @@ def stream_ingest(spark, folder):
     return ingest.StatementTable(spark, f"{base}/kb").read().select("raw")
 
 
-QUERIES = {f.__name__: f for f in (ingest_result, ingest_outcome, health_row, bench_summary, bench_cumulative, bench_run, stream_ingest)}
+QUERIES = {f.__name__: f for f in (ingest_result, ingest_outcome, health_row, bench_summary, bench_cumulative, bench_run, bench_smoke, stream_ingest)}
 
 SQL = {
+    "bench_smoke": f"""select case_name, category, parser, expected proof_found, true correct from (values {', '.join(f"('{c[0]}', '{c[1]}', {c[4]})" for c in runs.SMOKE)}) c(case_name, category, expected), (values ('template'), ('canonical'), ('extraction')) p(parser)""",
     "ingest_result": f"""{_CHUNKS}, n as (select doc_id, row_number() over (partition by doc_id order by chunk_no, n) - 1 k, length(chunk) c from e where chunk <> ''),
         r as (select doc_id, k, 0 b, 1 m, c from n where k = 0 union all select n.doc_id, n.k, case when r.m >= {C.MOST_SENTENCES} or r.c + 1 + n.c > {C.MOST_CHARS} then b + 1 else b end, case when r.m >= {C.MOST_SENTENCES} or r.c + 1 + n.c > {C.MOST_CHARS} then 1 else r.m + 1 end,
             case when r.m >= {C.MOST_SENTENCES} or r.c + 1 + n.c > {C.MOST_CHARS} then n.c else r.c + 1 + n.c end from r join n on n.doc_id = r.doc_id and n.k = r.k + 1),

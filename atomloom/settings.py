@@ -8,7 +8,8 @@ from dataclasses import dataclass, fields
 
 @dataclass(frozen=True)
 class Settings:
-    parser: str = "template"
+    parser: str = "canonical"
+    ingest_context: bool = True
     chunk_size: int = 512
     chunk_overlap: int = 64
     paragraph_chunk_size: int = 0

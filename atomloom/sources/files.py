@@ -8,13 +8,26 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from atomloom.session import laid, written
+
 PAYLOAD = "nl string, pln array<string>, source string, background boolean, relation string"
 ASSERTION_FIELDS = 5
 
 
+#: Bits of a line number for the place in a file, and of a statement's number for that within one call.
+LINE_BITS, CALL_BITS = 43, 45
+
+
 def numbered(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no bigint, line): the lines of a text file or folder. line_no follows the order within a file and of the files; it has gaps."""
-    return spark.read.text(path).select(F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    """(line_no bigint, line): the lines of a text file or folder. line_no follows the order of the files' paths, then that within a file; it has gaps."""
+    df = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    if len(df.inputFiles()) <= 1:  # parts of one file come in their order
+        return df.select(F.col("id").alias("line_no"), "line")
+    # Spark packs files into tasks by their size: the rows of a part are numbered from where it begins in its file
+    parts = df.groupBy("file", "block").agg(F.min("id").alias("first")).collect()  # a row for each split of the scan
+    rank = {f: i for i, f in enumerate(sorted({p.file for p in parts}))}
+    starts = spark.createDataFrame([(p.file, p.block, (rank[p.file] << LINE_BITS) + p.block - p.first) for p in parts], "file string, block bigint, start bigint")
+    return df.join(F.broadcast(starts), ["file", "block"]).select((F.col("start") + F.col("id")).alias("line_no"), "line")
 
 
 def balanced(line: Column) -> Column:
@@ -43,14 +56,28 @@ class StatementTable:
         empty = self.spark.createDataFrame([], "seq bigint, raw string, source string")
         return self.spark.read.schema(empty.schema).parquet(self.path) if self._exists() else empty
 
+    def _calls(self) -> int:
+        """How many calls have written, by the log of the table, an empty file each: nothing of the table is read."""
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_calls")  # a name that readers pass over
+        fs = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        number = 1 + max((int(f.getPath().getName()) for f in fs.listStatus(p)), default=0) if fs.exists(p) else 1
+        if not fs.createNewFile(jvm.org.apache.hadoop.fs.Path(f"{self.path}/_calls/{number}")):
+            raise RuntimeError(f"another writer has changed {self.path}")
+        return number
+
     def append(self, statements: DataFrame, raw: str = "raw", source: str = "kb", unique: bool = False) -> DataFrame:
-        """Appends statements with white space collapsed; blank ones are dropped. Returns what was added. unique drops repeated ones and those already stored; without it they are stored again."""
-        from atomloom.session import written
+        """Appends statements with white space collapsed; blank ones are dropped. Returns what was added. unique drops repeated ones and those already stored; without it they are stored again.
 
+        seq grows from call to call. Of the table only the texts are read, for unique, and none of it is shuffled as
+        long as the new statements are few enough to be sent to all executors.
+        """
         clean = statements.select(F.trim(F.regexp_replace(raw, r"[\s\p{Z}]+", " ")).alias("raw")).where("raw <> ''")
         if unique:
-            clean = clean.distinct().join(self.read().select("raw"), "raw", "left_anti")
-        start = (self.read().agg(F.max("seq")).first()[0] or 0) + 1
+            clean = laid(clean.distinct(), "new-statements")
+            there = self.read().select("raw").join(clean, "raw", "left_semi").distinct()
+            clean = clean.join(there, "raw", "left_anti")
+        start = F.shiftleft(F.lit(self._calls()).cast("bigint"), CALL_BITS)
         added = written(clean.select((F.monotonically_increasing_id() + start).alias("seq"), "raw", F.lit(source).alias("source")), "added")
         added.write.mode("append").partitionBy("source").parquet(self.path)
         return added

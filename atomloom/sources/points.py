@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomloom.operators import retrieval as R
+from atomloom.session import laid, written
 
 NO_SOURCE = "__none__"
 SCHEMA = "point_id bigint, nl string, pln array<string>, background boolean, relation string, vector array<float>, source string"
@@ -30,16 +31,18 @@ class PointTable:
         return self.spark.read.schema(SCHEMA).parquet(self.path).withColumn("source", F.nullif("source", F.lit(NO_SOURCE)))
 
     def add(self, records: DataFrame, embed=None) -> int:
-        """Embeds and appends (nl, pln[, source, background, relation]); returns how many. Vectors must have the length of the table."""
+        """Embeds and stores (nl, pln[, source, background, relation]); returns how many were new. A record that is there already, or stands in records twice, is one point. Vectors must have the length of the table."""
         have = set(records.columns)
         col = lambda n, kind: (F.col(n) if n in have else F.lit(None)).cast(kind).alias(n)
         vector = F.col("vector") if "vector" in have else (embed or (lambda x: R.embed(x, self.dimension)))(F.col("nl"))
         df = records.select("nl", "pln", col("background", "boolean"), col("relation", "string"), F.coalesce(col("source", "string"), F.lit(NO_SOURCE)).alias("source"), vector.alias("vector"))
         checked = F.when(F.size("vector") == self.dimension, F.col("vector").cast("array<float>")).otherwise(F.raise_error(F.lit(f"vectors of this table have {self.dimension} numbers")))
         df = df.withColumn("vector", checked).withColumn("point_id", F.xxhash64("nl", "pln", "source"))
-        before = self.count()
-        df.select("point_id", "nl", "pln", "background", "relation", "vector", "source").write.mode("append").partitionBy("source").parquet(self.path)
-        return self.count() - before
+        df = laid(df.select("point_id", "nl", "pln", "background", "relation", "vector", "source").dropDuplicates(["point_id"]), "new-points")
+        there = self.read().select("point_id").join(df.select("point_id"), "point_id", "left_semi").distinct()
+        new = written(df.join(there, "point_id", "left_anti"), "added-points")
+        new.write.mode("append").partitionBy("source").parquet(self.path)
+        return new.count()
 
     def search(self, queries: DataFrame, key: str, vector: str, k: int = R.TOP_K) -> DataFrame:
         return R.top_k(queries.select(F.col(key), F.col(vector).alias("vector")), self.read(), key, "point_id", "vector", k, self.dimension)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomloom.operators import parsers, service
+from atomloom.session import temporary
 from atomloom.sources.files import StatementTable
 
 
@@ -19,8 +20,9 @@ def start(spark: SparkSession, source: str, kb: str, checkpoint: str, schema: st
     table = StatementTable(spark, kb)
 
     def take(batch: DataFrame, number: int) -> None:
-        done = service.ingest(batch, key, text, parsers.parser(parser))
-        table.append(done.select(F.explode("atoms").alias("raw")), unique=True)
+        with temporary(spark):  # a batch leaves nothing behind but its statements
+            done = service.ingest(batch, key, text, parsers.parser(parser))
+            table.append(done.select(F.explode("atoms").alias("raw")), unique=True)
 
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_each).parquet(source)
     writer = stream.select(key, text).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint)

@@ -57,7 +57,7 @@ def test_alternatives_negation_comparison(spark):
 
 
 def test_rules_that_are_refused():
-    for bad in ("(: r (Implication (Premises (P $x)) (Conclusions (Q $y))) (STV 1 1))", "(: f (P x) (STV 1 1))", "(: r (Implication (Premises (P $a $b $c $d $e)) (Conclusions (Q $a))) (STV 1 1))"):
+    for bad in ("(: r (Implication (Premises (P $x)) (Conclusions (Q $y))) (STV 1 1))", "(: f (P x) (STV 1 1))", "(: r (Implication (Premises (P $x) (Compute pow ($x 2) -> $y)) (Conclusions (Q $y))) (STV 1 1))", "(: r (Implication (Premises (AverageDist $x -> $y)) (Conclusions (Q $y))) (STV 1 1))", "(: r (Implication (Conclusions (Q a))) (STV 1 1))"):
         with pytest.raises(ValueError):
             C.rules(bad)
     for bad in ("", "(a", "a b", "a)"):
@@ -81,6 +81,29 @@ def test_folds(spark):
         C.fold(f, h, "$v", ["$p"], "product")
 
 
+def test_distributions(spark):
+    given = ["(: g (Group g1) (STV 1 1))", "(: h1 (HeightDist g1 alice) (PointMass 160.0))", "(: h2 (HeightDist g1 bob) (ParticleFromNormal 170.0 3.0))", "(: h3 (HeightDist g2 eve) (ParticleFromPairs ((1 1.0) (3 3))))", "(: h4 (HeightDist g1 joe) (ParticleFromNormal x y))", "(: r (Rectangle r1) (STV 0.9 0.8))", "(: l (LengthDist r1) (ParticleFromNormal 3 0.4))", "(: w (WidthDist r1) (PointMass 2))", "(: five (P $a $b $c $d $e) (STV 1 1))"]
+    rules = [
+        "(: avg (Implication (Premises (Group $g) (AverageDist (HeightDist $g $person) -> $d)) (Conclusions (AvgHeightDist $g))) (STV 1.0 1.0))",
+        "(: area (Implication (Premises (Rectangle $r) (Map2Dist * (LengthDist $r) (WidthDist $r) -> $a)) (Conclusions (AreaDist $r))) (STV 1.0 0.9))",
+        "(: tall (Implication (Premises (AvgHeightDist $g) (GreaterThan (AvgHeightDist $g) (LengthDist r1))) (Conclusions (Tall $g))) (STV 1 1))",
+        "(: all (Implication (Premises (Group $g) (FoldAllValue (HeightDist $x $y) $v 0 max -> $m)) (Conclusions (MostDist $g))) (STV 1 1))",
+        "(: size (Implication (Premises (Group $g) (AreaDist r1) (MapDist square (AreaDist r1) -> $m) (Compute + ($m 1) -> $n)) (Conclusions (Size $g $n))) (STV 1 1))",
+    ]
+    f = facts(spark, *given)
+    made, skipped = C.compiled([*rules, "(: x (Implication (Premises (Odd (a b) c d)) (Conclusions (Q z))) (STV 1 1))"])
+    assert len(made) == 5 and len(skipped) == 1 and "flat" in skipped[0][1]
+    got = {(r.head, *r.args): (round(r.value.mu, 6), round(r.value.sigma, 6)) if r.value else None for r in C.chain(f, made, whole=True).collect()}
+    assert got["HeightDist", "g2", "eve"] == (2.5, round(0.75**0.5, 6)) and ("HeightDist", "g1", "joe") not in got
+    assert got["AvgHeightDist", "g1"] == (165.0, 1.5) and got["AreaDist", "r1"] == (6.0, 0.8) and got["Tall", "g1"] is None and got["MostDist", "g1"] == (170.0, 0.0)
+    assert ("Size", "g1", "37.0") in got
+    assert {(r.strength, r.confidence, r.value.mu) for r in C.prove(f, made, "(: $prf (AreaDist r1) $a)").collect()} == {(0.9, 0.8, 6.0)}
+    assert C.prove(f.limit(0), made, "(: $prf (AvgHeightDist $g) $a)").collect() == []
+    loop = C.rules("(: l (Implication (Premises (Group $g) (AverageDist (ADist $g $p) -> $d)) (Conclusions (ADist $g $g))) (STV 1 1))")
+    with pytest.raises(ValueError):
+        C.chain(f, loop)
+
+
 def test_top_k(spark):
     rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [2.0, 0.0]), (None, [1.0, 0.0]), (8, [float("nan"), 1.0])]
     df = spark.createDataFrame(rows, "id bigint, v array<double>")
@@ -123,7 +146,7 @@ def test_hints_of_blank(spark):
 
 def test_prepared_context(spark):
     df = spark.createDataFrame([(["; a"], ["(x  y)", "(x y)", None]), (None, None)], "h array<string>, c array<string>")
-    assert [r.p for r in df.select(P.prepared(F.col("h"), F.col("c")).alias("p")).collect()] == [["; a", "(x y)"], []]
+    assert [r.p for r in df.select(P.prepared(F.col("h"), F.col("c")).alias("p")).collect()] == [["(x y)", "; a"], []]
 
 
 def test_goal_direction(spark):

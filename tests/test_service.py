@@ -14,7 +14,7 @@ def docs(spark):
 
 def test_ingest(spark):
     got = {r.doc_id: r for r in service.ingest(docs(spark), "doc_id", "text", parsers.TemplateParser()).collect()}
-    assert len(got) == 6 and got[1].status == "success" and len(got[1].atoms) == 2 and (got[1].chunk_count, got[1].batch_count, got[1].batch_sizes) == (2, 1, [2])
+    assert len(got) == 6 and got[1].status == "success" and len(got[1].atoms) == 3 and (got[1].chunk_count, got[1].batch_count, got[1].batch_sizes) == (2, 1, [2])
     assert got[2].status == "failed" and got[2].error == service.NO_STATEMENTS and got[2].atoms == []
     assert all(got[i].status == "success" and got[i].chunk_count == 0 and got[i].batch_sizes == [] for i in (3, 4))
 

@@ -47,6 +47,30 @@ def test_points(spark, tmp_path):
     assert t.count() == 0
 
 
+def test_what_is_there_is_not_stored_twice(spark, tmp_path):
+    t = PointTable(spark, str(tmp_path / "points"), 64)
+    df = spark.createDataFrame([("dogs bark", ["(a)"]), ("dogs bark", ["(a)"]), ("cats sleep", ["(b)"])], "nl string, pln array<string>")
+    assert t.add(df) == 2 and t.add(df) == 0 and t.count() == 2
+    s = files.StatementTable(spark, str(tmp_path / "kb"))
+    for i in range(12):
+        s.append(spark.createDataFrame([(f"(: s{i} (X b) (STV 1 1))",), ("(: s0 (X b) (STV 1 1))",)], "raw string").coalesce(1), unique=True)
+    assert [r.raw.split()[1] for r in s.read().orderBy("seq").collect()] == [f"s{i}" for i in range(12)]
+
+
+def test_lines_follow_files_and_places(spark, tmp_path):
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "a.txt").write_text("first\n")
+    (tmp_path / "lines" / "b.txt").write_text("".join(f"{i:05d}\n" for i in range(5000)))
+    (tmp_path / "lines" / "c.txt").write_text("last\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = [r.line for r in files.numbered(spark, str(tmp_path / "lines")).orderBy("line_no").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == ["first", *(f"{i:05d}" for i in range(5000)), "last"]
+
+
 def test_other_files(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps(["a", "b\nc"]))
     (tmp_path / "c.txt").write_text("a\n\n  b \r\n")
