@@ -38,7 +38,13 @@ class Parser(Protocol):
 def symbol(phrase: str) -> str:
     """Words without articles, each made singular, joined by underscores."""
     words = [w for w in re.sub(r"[^a-z0-9_ ]", " ", phrase.lower().replace("-", "_")).split() if w not in ("a", "an", "the")]
-    return "_".join(_singular(w) for w in words)
+    return "_".join(map(_one, words))
+
+
+def _one(word: str) -> str:
+    """Singular of a word: as the translator has it, but -ses loses its s alone (noses, houses, cases) where it is not -sses or a consonant and -uses (buses)."""
+    own = len(word) > 4 and word.endswith("ses") and not word.endswith("sses") and not re.search(r"[^aeo]uses$", word)
+    return word[:-1] if own else _singular(word)
 
 
 def head(verb: str) -> str:
@@ -207,15 +213,15 @@ class CanonicalParser:
         return planned(made, key, question)
 
 
-def planned(made: DataFrame, key: str, question: Column) -> DataFrame:
-    """(key, statements, queries): the goals of each row planned against the signatures of its own statements, then its context."""
+def planned(made: DataFrame, key: str, question: Column, plan=P.planned) -> DataFrame:
+    """(key, statements, queries): the goals of each row planned against the signatures of its own statements, then its context; plan is P.planned or P.scored_or_first."""
     rows = made.withColumn("question_no", F.col(key))
     both = F.concat("statements", "context")
     one = lambda f, tier: rows.select("question_no", F.posexplode(both).alias("at", "raw")).select("question_no", F.lit(tier).alias("tier"), "at", F.posexplode(f(F.col("raw"))).alias("n", "s")).select("question_no", "tier", (F.col("at").cast("bigint") * 1_000_000 + F.col("n")).alias("seq"), "s.head", "s.args")
     signatures = one(X.fact_signatures, 0).unionByName(one(X.conclusion_signatures, 1))
     candidates = rows.select("question_no", F.posexplode("queries").alias("pos", "goal"))
-    plan = P.planned(candidates, rows.select("question_no", question.alias("question")), signatures)
-    goals = plan.groupBy("question_no").agg(F.array_sort(F.collect_list(F.struct("rank", "goal"))).alias("g")).select(F.col("question_no").alias(key), F.transform("g", lambda g: g["goal"]).alias("planned"))
+    goals = plan(candidates, rows.select("question_no", question.alias("question")), signatures)
+    goals = goals.groupBy("question_no").agg(F.array_sort(F.collect_list(F.struct("rank", "goal"))).alias("g")).select(F.col("question_no").alias(key), F.transform("g", lambda g: g["goal"]).alias("planned"))
     return made.select(key, "statements").join(goals, key, "left").select(key, "statements", F.coalesce("planned", F.array().cast(NO_TEXTS)).alias("queries"))
 
 
@@ -301,7 +307,7 @@ class ExtractionParser:
         ext = self._extracted(df, key, F.col(text), True)
         self.rejects = K.query_rejects(ext)
         made = self._processed(df, K.queries(ext), key, F.col(text), "query").withColumn("statements", F.array().cast(NO_TEXTS)).withColumn("queries", F.col("made"))
-        return planned(made, key, F.col(text))
+        return planned(written(made, "extracted-goals"), key, F.col(text), P.scored_or_first)
 
     def remember(self, ext: DataFrame) -> None:
         """Heads of predicates in the order they came in; those of one call by their first place. Heads are a vocabulary: the driver holds them."""

@@ -201,6 +201,15 @@ def planned(candidates: DataFrame, questions: DataFrame, signatures: DataFrame)
     return ranked(out, F.col("tier"), F.col("k0"), F.col("k1"))
 
 
+def scored_or_first(candidates: DataFrame, questions: DataFrame, signatures: DataFrame) -> DataFrame:
+    """(question_no, rank, goal): the plan without goals of its own making: scored candidates by score, then place; where none scores the first candidate."""
+    cand = few(candidates)
+    s = scored(cand, questions, signatures)
+    first = cand.join(s.select("question_no").distinct(), "question_no", "left_anti").groupBy("question_no").agg(F.min_by("goal", "pos").alias("goal"))
+    both = s.select("question_no", "goal", (-F.col("score")).alias("k"), "pos").unionByName(first.select("question_no", "goal", F.lit(0).alias("k"), F.lit(0).alias("pos")))
+    return ranked(both, F.col("k"), F.col("pos"))
+
+
 def executed(plan: DataFrame, found: DataFrame, fallback: bool = True) -> DataFrame:
     """(question_no, executed, proof): the first goal of each plan that was proved, else the last tried; found is (question_no, rank, proof)."""
     tried = plan if fallback else plan.where("rank = 1")

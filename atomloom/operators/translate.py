@@ -24,6 +24,10 @@ GROUND_KEYS = ["subject", "object", "entity", "type", "value", "child", "parent"
 AND_HEADS, OR_NOT_HEADS = [",", "and", "And"], {"or": "Or", "Or": "Or", "not": "Not", "Not": "Not"}
 MEMBERSHIP = ["isa", "Inheritance", "IsA", ":"]
 SUFFIXES = {"fact": "fact", "type_decl": "type", "property": "property", "inheritance": "inheritance", "negation": "neg", "rule": "rule"}
+#: The reasons that rejects are told with; what stands in braces is filled in.
+MISSING, FEW, HOLLOW, NO_PREMISES = "missing required attribute '{}'", "{} requires at least one argument", "symbol cannot be empty", "rule body produced no premises"
+FREE, NO_HEAD, NO_BODY, UNPARSEABLE = "free variable in '{}' for ", "rule has empty head_predicate", "rule has empty body", "rule body unparseable: "
+FUZZY, UNSUPPORTED, UNSUPPORTED_QUERY, RULE_TARGET = "fuzzy alignment", "unsupported statement class '", "unsupported query class '", "query cannot target a rule"
 TRUTH = "(STV 1.0 1.0)"
 LONGEST_NAME = 80
 PREMISES = "struct<premises:array<string>,parse_error:string,error:string>"
@@ -154,7 +158,7 @@ def _expressions(ext: DataFrame) -> DataFrame:
     needs = {"fact": ["predicate"], "negation": ["predicate"], "type_decl": ["entity", "type"], "property": ["entity", "property", "value"], "inheritance": ["child", "parent"], "rule": ["head_predicate", "body"], "query": ["predicate"]}
     missing = F.lit(None).cast("string")
     for c, names in needs.items():
-        first = F.coalesce(*(F.when(scalar(n).isNull(), F.lit(f"missing required attribute '{n}'")) for n in names))
+        first = F.coalesce(*(F.when(scalar(n).isNull(), F.lit(MISSING.format(n))) for n in names))
         missing = F.when(of(c), first).otherwise(missing)
     asked = items("arguments", True)
     asked = F.when(F.size(asked) > 0, asked).otherwise(own)
@@ -164,9 +168,9 @@ def _expressions(ext: DataFrame) -> DataFrame:
         .when(of("property"), F.array(scalar("entity"), scalar("property"), scalar("value"))).when(of("rule"), items("head_args", True, "$x")).when(of("query"), asked)
     )
     ext = ext.withColumn("head", head).withColumn("args", args)
-    few = F.when(F.col("cls").isin("fact", "negation") & (F.size("args") == 0), "fact requires at least one argument").when(of("query") & (F.size("args") == 0), "query requires at least one argument")
-    hollow = F.when(F.exists("args", lambda a: F.regexp_replace(a, r"^[$?]+", "") == ""), "symbol cannot be empty")
-    body = F.when(of("rule") & (F.size("r.premises") == 0), "rule body produced no premises")
+    few = F.when(F.col("cls").isin("fact", "negation") & (F.size("args") == 0), FEW.format("fact")).when(of("query") & (F.size("args") == 0), FEW.format("query"))
+    hollow = F.when(F.exists("args", lambda a: F.regexp_replace(a, r"^[$?]+", "") == ""), HOLLOW)
+    body = F.when(of("rule") & (F.size("r.premises") == 0), NO_PREMISES)
     ext = ext.withColumn("problem", F.coalesce(missing, few, F.when(of("rule"), F.col("r.error")), body, hollow))
     atom = atom_text(F.col("head"), F.col("args"), proper)
     payload = F.when(of("negation"), F.concat(F.lit("(Not "), atom, F.lit(")"))).when(of("rule"), F.concat(F.lit("(Implication (Premises "), F.array_join("r.premises", " "), F.lit(") (Conclusions "), atom, F.lit("))"))).otherwise(atom)
@@ -175,10 +179,10 @@ def _expressions(ext: DataFrame) -> DataFrame:
 
 
 def _with_reason(ext: DataFrame, skip_fuzzy: bool) -> DataFrame:
-    free = [F.when((F.col("cls") != "rule") & has_free_variable(k), F.concat(F.lit(f"free variable in '{k}' for "), "cls")) for k in GROUND_KEYS]
-    rule = F.when(F.col("cls") == "rule", F.when(scalar("head_predicate").isNull(), "rule has empty head_predicate").when(scalar("body").isNull(), "rule has empty body").when(F.col("r.parse_error").isNotNull(), F.concat(F.lit("rule body unparseable: "), "r.parse_error")))
-    fuzzy = F.when(F.col("alignment_status").isNotNull() & ~F.col("alignment_status").isin(EXACT), "fuzzy alignment") if skip_fuzzy else F.lit(None).cast("string")
-    unknown = F.when(~F.col("cls").isin(CLASSES), F.concat(F.lit("unsupported statement class '"), "cls", F.lit("'")))
+    free = [F.when((F.col("cls") != "rule") & has_free_variable(k), F.concat(F.lit(FREE.format(k)), "cls")) for k in GROUND_KEYS]
+    rule = F.when(F.col("cls") == "rule", F.when(scalar("head_predicate").isNull(), NO_HEAD).when(scalar("body").isNull(), NO_BODY).when(F.col("r.parse_error").isNotNull(), F.concat(F.lit(UNPARSEABLE), "r.parse_error")))
+    fuzzy = F.when(F.col("alignment_status").isNotNull() & ~F.col("alignment_status").isin(EXACT), FUZZY) if skip_fuzzy else F.lit(None).cast("string")
+    unknown = F.when(~F.col("cls").isin(CLASSES), F.concat(F.lit(UNSUPPORTED), "cls", F.lit("'")))
     return _expressions(ext).withColumn("reason", F.coalesce(fuzzy, unknown, *free, rule, F.col("problem")))
 
 
@@ -196,8 +200,8 @@ def rejected(ext: DataFrame, skip_fuzzy: bool = True) -> DataFrame:
 
 def _as_queries(ext: DataFrame) -> DataFrame:
     parse_error = F.when(F.col("cls") == "rule", F.col("r.parse_error"))
-    target = F.when(F.col("cls") == "rule", "query cannot target a rule")
-    unknown = F.when(~F.col("cls").isin([*CLASSES, "query"]), F.concat(F.lit("unsupported query class '"), "cls", F.lit("'")))
+    target = F.when(F.col("cls") == "rule", RULE_TARGET)
+    unknown = F.when(~F.col("cls").isin([*CLASSES, "query"]), F.concat(F.lit(UNSUPPORTED_QUERY), "cls", F.lit("'")))
     return _expressions(ext).withColumn("reason", F.coalesce(unknown, F.col("problem"), parse_error, target))
 
 

@@ -61,6 +61,11 @@ def plan_goals(spark, folder):
     return P.planned(_candidates(spark), _questions(spark), _signatures(spark, folder))
 
 
+def plan_ranked(spark, folder):
+    """The plan of a parser that makes no goals of its own."""
+    return P.scored_or_first(_candidates(spark), _questions(spark), _signatures(spark, folder))
+
+
 def query_status(spark, folder):
     df = _questions(spark).join(_candidates(spark), "question_no", "left").crossJoin(spark.createDataFrame([(True,), (False,)], "fallback_used boolean"))
     return df.select("question_no", F.coalesce("pos", F.lit(-1)).alias("pos"), "fallback_used", P.status(F.col("question"), F.col("goal"), F.col("fallback_used")).alias("status"))
@@ -81,7 +86,7 @@ def plan_executed(spark, folder):
     return P.executed(plan, hit.select("goal_no.question_no", "goal_no.rank", F.col("raw").alias("proof")))
 
 
-QUERIES = {f.__name__: f for f in (plan_score, plan_grounded, plan_aligned, plan_heuristic, plan_goals, query_status, query_hints, plan_executed)}
+QUERIES = {f.__name__: f for f in (plan_score, plan_grounded, plan_aligned, plan_heuristic, plan_goals, plan_ranked, query_status, query_hints, plan_executed)}
 
 _q = lambda s: "'" + s.replace("'", "''") + "'"
 _IN = f"""qs as (select * from (values {', '.join(f'({i}, {_q(x)})' for i, x in enumerate(QUESTIONS))}) v(question_no, question)), cs as (select * from (values {', '.join(f'({n}, {i}, {_q(g)})' for i, (n, g) in enumerate(GOALS))}) v(question_no, pos, goal)),
@@ -129,6 +134,8 @@ SQL = {
     "plan_score": f"with {_BASE}, {_SC} select * from sc",
     "plan_grounded": f"with {_BASE}, {_GR} select * from gr",
     "plan_aligned": f"with {_BASE}, {_al('cs')} select * from al",
+    "plan_ranked": f"""with {_BASE}, {_SC}, f0 as (select question_no, goal, -score k, pos from sc union all select question_no, arg_min(goal, pos), 0, 0 from cs where question_no not in (select question_no from sc) group by 1),
+        f1 as (select question_no, goal, min((k, pos)) o from f0 group by 1, 2) select question_no, row_number() over (partition by question_no order by o)::integer rank, goal from f1""",
     "plan_heuristic": f"with {_IN}, {_HE} select * from he",
     "plan_goals": f"with {_PLAN} select * from pl",
     "query_status": rf"""with {_IN} select question_no, coalesce(pos, -1) pos, f fallback_used, case when coalesce(goal, '') = '' then 'no_query' when f or (regexp_matches(lower(trim(question)), '^(?:{'|'.join(P.AUXILIARIES)}) ')

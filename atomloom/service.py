@@ -53,7 +53,8 @@ class KnowledgeBase:
         """Makes statements of a dump of assertions and stores them and their points as background knowledge.
 
         Nothing is done if the stored manifest was made with the same settings and all its records are there. What is
-        there of an earlier or broken-off run is replaced. Returns whether it was made anew.
+        there of an earlier or broken-off run is replaced. Returns whether it was made anew. A failure is in health(); with
+        background_fail_open the service goes on without.
         """
         s = self.settings
         wanted = {"source_file": dump, "normalization_version": background.NORMALIZATION_VERSION, "min_weight": float(s.background_min_weight), "coverage_percent": float(s.background_coverage_percent), "sample_seed": s.background_sample_seed}
@@ -74,6 +75,8 @@ class KnowledgeBase:
             self.last_error = None
         except Exception as e:
             self.last_error = str(e).splitlines()[0][:500]
+            if s.background_fail_open:
+                return False
             raise
         return True
 

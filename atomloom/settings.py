@@ -23,6 +23,7 @@ class Settings:
     background_coverage_percent: float = 100.0
     background_sample_seed: int = 42
     background_auto_rebuild: bool = True
+    background_fail_open: bool = False
     kb_path: str = "kb/statements"
     vector_path: str = "kb/points"
     manifest_path: str = "kb/manifest.json"

@@ -49,6 +49,8 @@ def test_background(spark, tmp_path):
     with pytest.raises(Exception):
         kb.load_background(str(tmp_path / "none.gz"), force=True)
     assert kb.health()["status"] == "degraded"
+    kb.settings = Settings(background_fail_open=True)
+    assert not kb.load_background(str(tmp_path / "none.gz"), force=True) and kb.health()["status"] == "degraded"
 
 
 class Spy(parsers.TemplateParser):
