@@ -6,12 +6,16 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from typing import TypeVar
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+T = TypeVar("T")
 #: Compressed size of a table that is sent to all executors, who hold a few times as much.
 BROADCAST_BYTES = 8 << 20
 _made: list[str] = []
@@ -102,6 +106,12 @@ def laid(df: DataFrame, label: str, most_bytes: int = BROADCAST_BYTES) -> DataFr
     return F.broadcast(out) if size <= most_bytes else out
 
 
+def together(*steps: Callable[[], T]) -> list[T]:
+    """Runs steps that don't depend on each other at the same time, so that small jobs fill the cores; the first error is raised when all have ended."""
+    with ThreadPoolExecutor(len(steps)) as pool:
+        return [f.result() for f in [pool.submit(inheritable_thread_target(s)) for s in steps]]
+
+
 @contextmanager
 def temporary(spark: SparkSession, keep: tuple[str, ...] = ()) -> Iterator[None]:
     """Tables written within are deleted at the end, as soon as they are consumed, but for those with a label in keep."""
