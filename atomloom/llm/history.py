@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from atomloom.llm import chunks as C
-from atomloom.session import laid, scratch, temporary, written
+from atomloom.session import laid, scratch, temporary, together, written
 
 #: Counters: one for each so many occurrences of words in the history, within these limits.
 WORDS_EACH, LEAST_COUNTERS, MOST_COUNTERS = 4, 1 << 16, 1 << 23
@@ -175,19 +175,27 @@ class Index:
             self._renew()
         with temporary(self.spark, ("batch-pairs",)):
             sets = written(signed.where("words > 0").groupBy("bag").agg(F.first("words").alias("words"), F.first("occurrences").alias("occurrences")), "batch-sets")
-            rows, words = sets.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
-            if not self.state.commits:
+            count = lambda: sets.agg(F.count("*"), F.coalesce(F.sum("words"), F.lit(0))).first()
+            place = f"{len(self.state.names)}-{xxhash.xxh3_64_hexdigest(name)}"
+            if self.state.commits:
+                (rows, words), look = together(count, lambda: laid(lookups(sets, self._counters()), "batch-postings"))
+            else:
+                rows, words = count()
                 self._count(sets, words)
-            look = laid(lookups(sets, self._counters()), "batch-postings")
+                look = laid(lookups(sets, self._counters()), "batch-postings")
             both = F.array(F.struct(F.col("bag").alias("k"), F.lit(0).cast("bigint").alias("l"), F.lit(True).alias("is_bag"), F.col("root_a").alias("other")), F.struct(F.col("root_a").alias("k"), F.col("root_b").alias("l"), F.lit(False).alias("is_bag"), F.when(F.col("words") > 0, F.col("bag")).alias("other")))
             mine = signed.select("rec_table", "id", "batch_no", F.explode(F.when(F.col("words") > 0, both).otherwise(F.slice(both, 2, 1))).alias("m")).select("m.*", "rec_table", "id", "batch_no")
-            known = None
+            new, known = name not in self.state.names, None
+            found = self.spark.createDataFrame([], "rec_table string, id_a bigint, id_b bigint")
+            members = lambda: self._lay("members", mine, place) if new else None
             if self.state.commits:
-                found, known = self._compared(look, sets, rows, words, mine)
+                (found, known), _ = together(lambda: self._compared(look, sets, rows, words, mine), members)
+                look, sets = (t.join(known, "bag", "left_anti") for t in (look, sets))
             else:
-                found = self.spark.createDataFrame([], "rec_table string, id_a bigint, id_b bigint")
-            if name not in self.state.names:
-                self._accept(name, words, look, sets, mine, known)
+                members()
+            if new:
+                together(lambda: self._lay("postings", look, place), lambda: self._lay("sets", sets, place))
+                self._commit(State(**asdict(self.state) | {"words": self.state.words + words, "commits": [*self.state.commits, place], "names": [*self.state.names, name]}))
         return found
 
     def _compared(self, look: DataFrame, sets: DataFrame, rows: int, words: int, mine: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -206,17 +214,10 @@ class Index:
         met = self._read("members", asked, ["k", "l", "is_bag"], 2 * rows).where("batch_no < batch_b").where(F.expr("(is_bag and not near) or coalesce(other <> own, true)"))
         return written(met.select("rec_table", F.col("id").alias("id_a"), "id_b"), "batch-pairs"), known
 
-    def _accept(self, name: str, words: int, look: DataFrame, sets: DataFrame, mine: DataFrame, known: DataFrame | None) -> None:
-        if known is not None:
-            look, sets = look.join(known, "bag", "left_anti"), sets.join(known, "bag", "left_anti")
-        place = f"{len(self.state.names)}-{xxhash.xxh3_64_hexdigest(name)}"
-        self._lay({"postings": look, "sets": sets, "members": mine}, place)
-        self._commit(State(**asdict(self.state) | {"words": self.state.words + words, "commits": [*self.state.commits, place], "names": [*self.state.names, name]}))
-
-    def _lay(self, tables: dict[str, DataFrame], place: str) -> None:
-        for table, df in tables.items():
-            bucket = F.pmod(F.col(BUCKETED_BY[table]), F.lit(self.state.buckets)).cast("int")
-            df.withColumn("bucket", bucket).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self._root()}/{table}/place={place}")
+    def _lay(self, table: str, df: DataFrame, place: str) -> None:
+        """Writes a part of a table, which is read once a file of state names its place; what an attempt before left there goes."""
+        bucket = F.pmod(F.col(BUCKETED_BY[table]), F.lit(self.state.buckets)).cast("int")
+        df.withColumn("bucket", bucket).write.mode("overwrite").option("compression", "zstd").partitionBy("bucket").parquet(f"{self._root()}/{table}/place={place}")
 
     def _read(self, table: str, asked: DataFrame | None, on, rows: int, by: DataFrame | None = None) -> DataFrame:
         """A table of the history joined with what is asked of it; only the buckets that fall under that are read, where the batch is small enough to leave some out."""
@@ -250,7 +251,8 @@ class Index:
         words = sets.agg(F.sum("words")).first()[0]
         self.state = State(**asdict(old) | {"generation": old.generation + 1, "words": words, "commits": ["all"]})
         self._count(sets, words)
-        self._lay({"postings": lookups(sets, self._counts), "sets": sets, "members": members}, "all")
+        for table, df in (("postings", lookups(sets, self._counts)), ("sets", sets), ("members", members)):
+            self._lay(table, df, "all")
         gone = f"{self.folder}/generation{old.generation}"
         self._commit(self.state)
         fs, p = self._hadoop(gone)
