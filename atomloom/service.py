@@ -43,7 +43,7 @@ class KnowledgeBase:
             return out if out is not None else self.ingest(texts.limit(0), key, text)
         s = self.settings
         limits = service.Limits(s.chunk_size, s.chunk_overlap, s.batch_max_sentences, s.batch_max_chars, s.paragraph_chunk_size)
-        with temporary(self.spark, ("ingested",)):
+        with temporary(self.spark, ("ingested", "extractions")):  # the latter are what a parser's rejects are read from
             done = written(service.ingest(texts, key, text, self.parser, limits, self.contexts if s.ingest_context else None), "ingested")
             self.statements.append(done.select(F.explode("atoms").alias("raw")), unique=unique)
             self.points.add(done.select(F.explode("units").alias("u")).select("u.nl", "u.pln"))
@@ -109,6 +109,10 @@ class KnowledgeBase:
         could not be compiled, with the reason) and unfinished (why chaining ended early, else null: then no proof
         says nothing). Statements that the parser makes of a question are stored only with store_support.
         """
+        with temporary(self.spark, ("extractions",)):
+            return self._answered(question, store_support)
+
+    def _answered(self, question: str, store_support: bool) -> dict:
         s = self.settings
         asked = self.spark.createDataFrame([(0, question)], "question_no int, question string")
         seen = self.contexts(asked.select(F.col("question_no").alias("k"), F.col("question").alias("text"))).withColumnRenamed("k", "question_no")
