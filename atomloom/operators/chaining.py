@@ -551,3 +551,22 @@ def location(facts: DataFrame) -> DataFrame:
     at = facts.where("head = 'AtLocation'").select("subject", F.col("object").alias("place"), F.col("strength").alias("s1"), F.col("confidence").alias("c1"))
     part = facts.where("head = 'PartOf'").select(F.col("subject").alias("place"), F.col("object").alias("whole"), F.col("strength").alias("s2"), F.col("confidence").alias("c2"))
     return at.join(part, "place").select("subject", "place", "whole", (F.col("s1") * F.col("s2")).alias("strength"), F.least("c1", "c2").alias("confidence"))
+
+
+def widest(start: DataFrame, links: DataFrame) -> DataFrame:
+    """(subject, object, confidence): of the chains of a row of start and links behind it, the best by its least confidence; both have these columns.
+
+    To the fixpoint, without a limit to rows or rounds: each round goes on from the pairs that the last one made or
+    improved, so each pair is kept once, not once a path, and circles end.
+    """
+    pair = ["subject", "object"]
+    top = lambda df: df.groupBy(*pair).agg(F.max("confidence").alias("confidence"))
+    links = links.select(F.col("subject").alias("object"), F.col("object").alias("next"), F.col("confidence").alias("c"))
+    known = newest = written(top(start), "chains")
+    while True:
+        longer = newest.join(links, "object").select("subject", F.col("next").alias("object"), F.least("confidence", "c").alias("confidence"))
+        old = known.select(*pair, F.col("confidence").alias("c0"))
+        newest = written(top(longer).join(old, pair, "left").where("c0 is null or confidence > c0").drop("c0"), "chains")
+        if newest.isEmpty():
+            return known
+        known = written(top(known.unionByName(newest)), "chains")

@@ -116,12 +116,9 @@ def chain_transitive(spark, folder):
 
 
 def chain_transitive_cte(spark, folder):
-    """The confidence of the best chain of locations and parts, by a recursive query: a second way for acyclic facts."""
+    """The confidence of the best chain of locations and parts: a second way, by widest paths of confidences alone."""
     f = K.stored_facts(spark, folder, ("AtLocation", "PartOf"), ("head", "subject", "object", "confidence"))
-    f.createOrReplaceTempView("atomloom_facts")
-    return spark.sql("""with recursive w(subject, object, confidence) as (select subject, object, confidence from atomloom_facts where head = 'AtLocation'
-        union all select w.subject, f.object, least(w.confidence, f.confidence) from w join atomloom_facts f on f.subject = w.object)
-        select subject, object, max(confidence) confidence from w group by subject, object""")
+    return C.widest(f.where("head = 'AtLocation'"), f)
 
 
 def chain_open_goal(spark, folder):

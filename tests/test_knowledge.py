@@ -174,3 +174,19 @@ def test_chain_without_fixpoint_is_no_silent_result(spark):
         with pytest.warns(RuntimeWarning, match="not the fixpoint"):
             C.chain(given, rule, **limits)
     assert C.chain(given, rule, whole=True).count() == 21
+
+
+def test_second_way_of_chaining_has_no_limit_of_rows_and_ends_on_circles(spark, monkeypatch):
+    from atomloom.plans import knowledge as Q
+
+    rows = [("AtLocation", f"p{i}", f"s{i % 5}", 0.5 + i / 100) for i in range(40)] + [("AtLocation", f"s{i}", "n", 0.9 - i / 10) for i in range(5)] + [("PartOf", "n", "r", 0.6)]
+    rows += [("AtLocation", "a", "b", 0.9), ("AtLocation", "b", "c", 0.8), ("PartOf", "c", "a", 0.7), ("AtLocation", "a", "c", 0.5)]
+    monkeypatch.setattr(Q.K, "stored_facts", lambda *a: spark.createDataFrame(rows, "head string, subject string, object string, confidence double"))
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "50")
+    try:
+        got = {(r.subject, r.object): r.confidence for r in Q.chain_transitive_cte(spark, "").collect()}
+    finally:
+        spark.conf.unset("spark.sql.cteRecursionRowLimit")
+    assert len(got) == 40 * 3 + 5 * 2 + 6
+    assert got["p3", "n"] == 0.53 and got["p39", "n"] == 0.5 and got["p39", "r"] == 0.5 and got["s0", "r"] == 0.6
+    assert got["a", "c"] == 0.8 and got["a", "a"] == 0.7 and got["b", "b"] == 0.7 and ("c", "a") not in got
